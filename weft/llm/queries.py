@@ -13,7 +13,22 @@ def op8_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(table(spark, sf_dir, "documents"))
 
 
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_spans
+
+    return find_spans(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import as_hex, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", as_hex("fp").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
+    "op2_pii_spans": op2_pii_spans,
+    "op5_simhash_classes": op5_simhash_classes,
     "op8_interleave": op8_interleave,
 }
 
