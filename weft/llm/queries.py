@@ -26,9 +26,16 @@ def op5_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", as_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_pii_spans": op2_pii_spans,
     "op5_simhash_classes": op5_simhash_classes,
+    "op9_line_crf_quality": op9_line_crf_quality,
     "op8_interleave": op8_interleave,
 }
 

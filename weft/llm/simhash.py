@@ -227,7 +227,7 @@ def links(fps: DataFrame, radius: int = 4, block: int = 2048, choices: tuple[int
         if t > 0:
             masks = F.explode(F.array(*[F.lit(m) for m in flips(group, t)]))
             probes = fps.select("fp", masks.alias("flip"))
-            rows = rows.unionAll(probes.select(F.lit(k), project(F.col("fp"), group).bitwiseXOR("flip"), "fp", F.lit(True)))
+            rows = rows.unionAll(probes.select(F.lit(k), project(F.col("fp"), group).bitwiseXOR(F.col("flip")), "fp", F.lit(True)))
     sizes = rows.groupBy("part", "key").agg(F.count("*").alias("n"), F.count_if(~F.col("probe")).alias("n_own"))
     sizes = sizes.where("n > 1 and n_own > 0")
     blocks = F.ceil(F.col("n") / block).cast("long")
