@@ -13,12 +13,24 @@ def op8_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(table(spark, sf_dir, "documents"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_spans
 
     return find_spans(table(spark, sf_dir, "documents"))
 
 
+def op4_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import as_hex, near_duplicates
 
@@ -33,7 +45,9 @@ def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_pii_spans": op2_pii_spans,
+    "op4_license_join": op4_license_join,
     "op5_simhash_classes": op5_simhash_classes,
     "op9_line_crf_quality": op9_line_crf_quality,
     "op8_interleave": op8_interleave,
