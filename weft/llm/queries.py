@@ -38,6 +38,12 @@ def op5_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", as_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
@@ -49,6 +55,7 @@ QUERIES = {
     "op2_pii_spans": op2_pii_spans,
     "op4_license_join": op4_license_join,
     "op5_simhash_classes": op5_simhash_classes,
+    "op6_pack": op6_pack,
     "op9_line_crf_quality": op9_line_crf_quality,
     "op8_interleave": op8_interleave,
 }
