@@ -25,6 +25,12 @@ def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_spans(table(spark, sf_dir, "documents"))
 
 
+def op3_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op4_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
@@ -53,6 +59,7 @@ def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii_spans": op2_pii_spans,
+    "op3_bloom_lm": op3_bloom_lm,
     "op4_license_join": op4_license_join,
     "op5_simhash_classes": op5_simhash_classes,
     "op6_pack": op6_pack,
