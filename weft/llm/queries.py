@@ -50,6 +50,12 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
@@ -63,6 +69,7 @@ QUERIES = {
     "op4_license_join": op4_license_join,
     "op5_simhash_classes": op5_simhash_classes,
     "op6_pack": op6_pack,
+    "op7_hilbert_neighbours": op7_hilbert_neighbours,
     "op9_line_crf_quality": op9_line_crf_quality,
     "op8_interleave": op8_interleave,
 }
