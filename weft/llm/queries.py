@@ -62,6 +62,12 @@ def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import passages, shared_passages
+
+    return passages(shared_passages(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii_spans": op2_pii_spans,
@@ -72,6 +78,7 @@ QUERIES = {
     "op7_hilbert_neighbours": op7_hilbert_neighbours,
     "op9_line_crf_quality": op9_line_crf_quality,
     "op8_interleave": op8_interleave,
+    "op10_shared_passages": op10_shared_passages,
 }
 
 ORACLES: dict[str, str] = {}
