@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,17 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b or b"" for b in col.to_pylist()]
 
 
+def slices(batches, most: int = 8 << 20, name: str = "text"):
+    """The batches in runs of rows of about `most` bytes of text, so that a task's memory has a bound."""
+    for b in batches:
+        col = b.column(b.schema.get_field_index(name)).cast(pa.binary())
+        size = np.array(pc.fill_null(pc.binary_length(col), 0))
+        edges = [0, *(np.nonzero(np.diff(np.cumsum(size) // most))[0] + 1).tolist(), b.num_rows]
+        for a, z in zip(edges, edges[1:], strict=False):
+            if z > a:
+                yield b.slice(a, z - a)
+
+
 def only_id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the two columns, so that further columns, whatever their names, play no part."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
