@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, texts
+from ._common import LOWER, slices, texts
 
 BITS = 128
 BLOCKS = 4
@@ -200,7 +200,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: floa
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = indexed(sent)
-            for b in batches:
+            for b in slices(batches):
                 found = [(i, items.ids[k], *rest) for i, t in zip(b.column(0).to_pylist(), texts(b), strict=True) for k, *rest in items.leaks(t)]
                 cols = list(zip(*found, strict=True)) or [[]] * 6
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
@@ -217,7 +217,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = indexed(sent)
-            for b in batches:
+            for b in slices(batches):
                 yield b.filter(pa.array([not items.leaks(t) for t in texts(b)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import only_id_text, texts
+from ._common import only_id_text, slices, texts
 
 # Words are runs of ASCII letters and digits and of everything beyond ASCII.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -69,7 +69,7 @@ def template_frequency(docs: DataFrame, templates: list[tuple[str, str]]) -> dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = dict.fromkeys(vocabulary, 0)
-        for b in batches:
+        for b in slices(batches):
             for t in texts(b):
                 for w in vocabulary.intersection(t.translate(WORD_BYTES).split()):
                     counts[w] += 1
@@ -136,7 +136,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     index = Index(templates or TEMPLATES, template_frequency(docs, templates or TEMPLATES), threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[] for _ in names[1:]]
             for t in texts(b):
                 words = t.translate(WORD_BYTES).split()

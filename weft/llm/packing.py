@@ -34,7 +34,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, only_id_text
+from ._common import cut, only_id_text, slices
 
 _ENCODING: dict = {}
 
@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, size: int, end_id: int, tokenizer: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(tokenizer)
-        for b in batches:
+        for b in slices(batches):
             out: list[list[int | None]] = [[] for _ in names]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.array([*enc.encode_ordinary(text or ""), end_id], "<u4")

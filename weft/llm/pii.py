@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import only_id_text
+from ._common import only_id_text, slices
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 6
@@ -315,7 +315,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     w = weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[] for _ in range(6)]
             for text in b.column(1).to_pylist():
                 base, every = all_spans(text or "", w)
@@ -344,7 +344,7 @@ def mask(docs: DataFrame) -> DataFrame:
     w = weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             at = b.schema.get_field_index("text")
             new = [None if t is None else masked(t, all_spans(t, w)[1]) for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import cut, only_id_text, texts, train_side
+from ._common import cut, only_id_text, slices, texts, train_side
 
 # Classes of bytes: lower, upper, digit, blank, full stop and comma, mark, other ASCII, beyond ASCII.
 CLASS = np.full(256, 7, np.uint8)
@@ -218,10 +218,12 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 1500, max_lines:
     rows = only_id_text(docs).join(F.broadcast(chosen), "doc_id")  # at most 2 max_train rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [line_features(t) for t in texts(b)]
-            x = [f[:max_lines].astype("<f4").tobytes() for f, _ in found]
-            size = [s[:max_lines].astype("<i8").tobytes() for _, s in found]
+        for b in slices(batches):
+            x, size = [], []
+            for t in texts(b):
+                f, s = line_features(t)
+                x.append(f[:max_lines].astype("<f4").tobytes())
+                size.append(s[:max_lines].astype("<i8").tobytes())
             y = b.column(b.schema.get_field_index("y"))
             yield pa.RecordBatch.from_arrays([b.column(0), y, pa.array(x, pa.binary()), pa.array(size, pa.binary())], names=["doc_id", "y", "x", "size"])
 
@@ -259,7 +261,7 @@ def score(docs: DataFrame, model: Model, cut_at: float = 0.7, keep: bool = False
     """doc_id, held_out, score, predicted; with keep, the documents' own columns and predicted instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             s = pa.array([model.score(t) for t in texts(b)], pa.float64())
             if keep:
                 yield b.append_column("_quality_", s)

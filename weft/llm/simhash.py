@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, cut, only_id_text, texts
+from ._common import LOWER, cut, only_id_text, slices, texts
 
 BITS = 64
 
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t, width, seed) for t in texts(b)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
@@ -194,7 +194,7 @@ def forest(own: np.ndarray, other: np.ndarray, radius: int) -> list[tuple[int, i
     every = np.unique(np.concatenate((own, other)))
     a = every if not len(other) else np.unique(own)
     b = every if not len(other) else np.unique(other)
-    near, step = [], max(1, (1 << 22) // max(len(b), 1))
+    near, step = [], max(1, (1 << 20) // max(len(b), 1))
     for at in range(0, len(a), step):
         x, y = np.nonzero(np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= radius)
         x, y = a[x + at], b[y]
@@ -322,11 +322,14 @@ def signatures(docs: DataFrame, width: int, seed: int) -> DataFrame:
     """doc_id, words (MD5 of the lower-cased words, so copies share it) and the long fingerprint w0 .. w3."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            split = [t.translate(LOWER).split() for t in texts(b)]
-            fp = np.array([long_fingerprint(w, width, seed) for w in split], np.uint64).reshape(-1, WORDS).view(np.int64)
-            same = pa.array([hashlib.md5(b" ".join(w)).digest() for w in split], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), same, *(pa.array(fp[:, k].copy()) for k in range(WORDS))], names=names)
+        for b in slices(batches):
+            fp, same = np.zeros((b.num_rows, WORDS), np.uint64), []
+            for i, t in enumerate(texts(b)):
+                words = t.translate(LOWER).split()
+                fp[i] = long_fingerprint(words, width, seed)
+                same.append(hashlib.md5(b" ".join(words)).digest())
+            bits = fp.view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), *(pa.array(bits[:, k].copy()) for k in range(WORDS))], names=names)
 
     names = ["doc_id", "words", *(f"w{k}" for k in range(WORDS))]
     return only_id_text(docs).mapInArrow(run, "doc_id long, words binary, " + ", ".join(f"w{k} long" for k in range(WORDS)))
@@ -336,7 +339,7 @@ def shortest_forest(fp: np.ndarray, node: np.ndarray, radius: int) -> list[tuple
     """Links of a minimum spanning forest over pairs within the radius, nearest first; nodes are distinct."""
     n = len(fp)
     kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    step = max(1, (1 << 22) // max(n, 1))
+    step = max(1, (1 << 20) // max(n, 1))
     for at in range(0, n, step):
         d = np.bitwise_count(fp[at : at + step, None] ^ fp[None, :])
         x, y = np.nonzero(d <= radius)
