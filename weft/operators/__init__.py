@@ -1 +1 @@
-
+"""Dataflow operators: DataFrames in, DataFrames out, nothing is run."""

@@ -1 +1 @@
-
+"""Named queries over the driver's tables, each with SQL that gives the same rows."""

@@ -1 +1 @@
-
+"""Accumulation over pages, as batches and as streams."""
