@@ -61,7 +61,9 @@ def resource_matches(refs: DataFrame, decls: DataFrame, fallback: bool = False)
     by_name = refs.where(non_blank("owner").isNull()).join(decls.select(*cols, "name"), "name").withColumn("tier", F.lit(3))
     found = lowest_tier(by_ref.unionByName(by_owner).unionByName(by_name), ["ref", "owner", "name"])
     if fallback:
-        rest = refs.join(found.select("ref", "owner", "name").distinct(), ["ref", "owner", "name"], "left_anti")
+        met = found.select(*[F.col(k).alias(f"_{k}") for k in ("ref", "owner", "name")]).distinct()
+        same = [refs[k].eqNullSafe(met[f"_{k}"]) for k in ("ref", "owner", "name")]
+        rest = refs.join(met, same, "left_anti")
         found = found.unionByName(rest.withColumn("tier", F.lit(4)), allowMissingColumns=True)
     return found
 
