@@ -221,6 +221,26 @@ def test_ordered_packing(spark):
     assert all(x["oversized"] == (x["n"] > 100) for x in got.collect())
 
 
+def test_segments_fold_as_one(spark):
+    r = random.Random(8)
+    for _ in range(3000):
+        target = r.randint(1, 60)
+        most = target + r.randint(0, 40)
+        parts = [[r.randint(1, r.choice((3, 30, 120))) for _ in range(r.randint(1, 12))] for _ in range(r.randint(1, 5))]
+        used, chunk, got = 0, 1, []
+        for sizes in parts:
+            got.append(chunk)
+            s = pack.Segment(sizes, target, most)
+            closed, used = pack.entered(used, s.sums, s.after, s.last, s.total, target, most)
+            chunk += closed
+        flat = plain_pack([x for p in parts for x in p], target, most)
+        at, want = 0, []
+        for p in parts:
+            want.append(flat[at - 1] if at else 1)
+            at += len(p)
+        assert got == want and chunk == flat[-1], (parts, target, most, got, want)
+
+
 def test_text_packing_is_lossless(spark):
     r = random.Random(7)
     texts = ["".join(r.choices("ab\n", k=r.randint(0, 400))) for _ in range(20)] + ["x" * 333, "", "\n\n"]

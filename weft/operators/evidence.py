@@ -91,14 +91,19 @@ def payload(slices: DataFrame, visible: DataFrame, bodies: DataFrame, types: Dat
     return {"slices": used, "index": index, "methods": methods, "types": listed, "missing": names.join(known, "type_full_name", "left_anti"), "stats": stats}
 
 
+def gathered(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, values (distinct, in order), n rows and the first ord; repetitions are summed up before the values of a key meet."""
+    pairs = rows.where(F.col(key).isNotNull()).groupBy(key, value).agg(F.min("ord").alias("ord"), F.count("*").alias("n"))
+    return pairs.groupBy(key).agg(ordered(value, "ord").alias(value + "s"), F.sum("n").alias("n"), F.min("ord").alias("ord"))
+
+
 def evidence_index(occurrences: DataFrame) -> dict[str, DataFrame]:
     """Vertices, edges and savings of a typed graph.
 
     occurrences: ord, resource, method, type (null: none). Vertices keep where they come from; an edge is there once.
     `avoided` is how many repetitions of methods and types sending each once saves.
     """
-    methods = occurrences.where("method is not null").groupBy("method").agg(ordered("resource", "ord").alias("resources"), F.count("*").alias("n"), F.min("ord").alias("ord"))
-    types = occurrences.where("type is not null").groupBy("type").agg(ordered("method", "ord").alias("methods"), F.count("*").alias("n"), F.min("ord").alias("ord"))
+    methods, types = gathered(occurrences, "method", "resource"), gathered(occurrences, "type", "method")
     edge = lambda a, b: occurrences.where(f"{a} is not null and {b} is not null").select(a, b).distinct()
     save = lambda v, kind: v.agg(F.lit(kind).alias("kind"), F.count("*").alias("n_unique"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_occurrences"))
     stats = save(methods, "method").unionByName(save(types, "type"))
@@ -124,7 +129,7 @@ def attributed(methods: DataFrame, types: DataFrame, slice_refs: DataFrame, poli
 
 def inverse_index(rows: DataFrame, key: str, values: str, value: str, order: str) -> DataFrame:
     """Of every element of an array column, the rows that hold it, in order."""
-    return rows.select(F.explode(values).alias(key), value, order).groupBy(key).agg(ordered(value, order).alias(value + "s"))
+    return gathered(rows.select(F.explode(values).alias(key), value, F.col(order).alias("ord")), key, value).select(key, value + "s")
 
 
 def direct_callees(paths: DataFrame, method: str, path: str) -> DataFrame:

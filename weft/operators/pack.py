@@ -6,35 +6,108 @@ take it beyond the maximum; items are never split (texts: only pieces longer tha
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
+
+class Segment:
+    """A run of a group's items, and what becomes of a fold that enters it.
+
+    An open chunk of u characters is closed before the first item that finds it at the target or that it can't take.
+    From there on nothing depends on u any more, so for each item before which that can happen (those among the
+    first `most` characters) the number of later closings and the size of the last chunk say it all.
+    """
+
+    def __init__(self, sizes: list[int], target: int, most: int):
+        self.sizes, self.target, self.most = sizes, target, most
+        n = len(sizes)
+        sums = [0, *accumulate(sizes)]
+        after, last = [0] * n, [0] * n
+        for i in range(n - 1, -1, -1):
+            # a chunk that starts at i reaches the target with item j; if j takes it too far, j starts the next one
+            j = bisect_left(sums, sums[i] + target, i + 1) - 1
+            if j >= n:
+                after[i], last[i] = 0, sums[n] - sums[i]
+                continue
+            following = j + 1 if j == i or sums[j + 1] - sums[i] <= most else j
+            after[i], last[i] = (after[following] + 1, last[following]) if following < n else (0, sums[n] - sums[i])
+        head = min(n, bisect_left(sums, most) + 1)
+        self.sums, self.after, self.last, self.total = sums[: head + 1], after[:head], last[:head], sums[n]
+
+
+def entered(used: int, sums: list[int], after: list[int], last: list[int], total: int, target: int, most: int) -> tuple[int, int]:
+    """(closings, size of the open chunk) when a fold with an open chunk of `used` has gone through a segment."""
+    if not used:
+        return after[0], last[0]
+    # before item j: at the target already, or too large with it
+    full = bisect_left(sums, target - used) if used < target else 0
+    over = bisect_right(sums, most - used) - 1
+    j = min(full, max(over, 0))
+    return (1 + after[j], last[j]) if j < len(after) else (0, used + total)
+
 
 def pack_ordered(df: DataFrame, group: str, order: str, size: str, target: int, most: int) -> DataFrame:
-    """group, order, size with `chunk` (from 1) and `oversized`.
+    """group, order, size with `chunk` (from 1) and `oversized`; items without size are left out.
 
-    Groups are sorted within partitions and folded row by row with a few numbers of state; no group is held in memory.
+    The fold over a group runs in parallel: rows are range-partitioned by (group, order), every run of a group in a batch
+    is a segment, each segment says what a fold does that enters it, one short fold over the segments
+    gives each its entry state, and the segments are then folded from there.
     """
     kinds = dict(df.dtypes)
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    items = df.select(group, order, F.col(size).cast("long").alias(size)).where(F.col(size) > 0)
+    rows = items.repartitionByRange(parts, group, order).sortWithinPartitions(group, order)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, chunk, used = object(), 0, 0
+    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, batch = TaskContext.get().partitionId(), 0
         for pdf in batches:
+            if pdf.empty:
+                continue
+            g = pdf[group]
+            edges = [0, *(i for i in range(1, len(g)) if g.iat[i] != g.iat[i - 1] and not (pd.isna(g.iat[i]) and pd.isna(g.iat[i - 1]))), len(g)]
             out = []
-            for g, s in zip(pdf[group], pdf[size], strict=True):
-                if g != now and not (pd.isna(g) and pd.isna(now)):
-                    now, chunk, used = g, 1, 0
-                elif used and (used >= target or used + s > most):
-                    chunk, used = chunk + 1, 0
-                used += s
-                out.append((chunk, s > most))
-            yield pdf.assign(chunk=[o[0] for o in out], oversized=[o[1] for o in out])
-
-    rows = df.select(group, order, size).where(F.col(size) > 0).repartition(group).sortWithinPartitions(group, order)
-    return rows.mapInPandas(fold, f"{group} {kinds[group]}, {order} {kinds[order]}, {size} {kinds[size]}, chunk long, oversized boolean")
+            for a, z in pairwise(edges):
+                sizes = pdf[size].iloc[a:z].tolist()
+                s = Segment(sizes, target, most)
+                out.append((g.iat[a], part, batch, pdf[order].iloc[a:z].tolist(), sizes, s.sums, s.after, s.last, s.total))
+            batch += 1
+            yield pd.DataFrame(out, columns=["g", "part", "batch", "orders", "sizes", "sums", "after", "last", "total"])
+
+    longs = "array<long>"
+    made = cut(rows.mapInPandas(segments, f"g {kinds[group]}, part int, batch int, orders array<{kinds[order]}>, sizes {longs}, sums {longs}, after {longs}, last {longs}, total long"))
+
+    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, chunk, out = 0, 1, []
+        for r in pdf.sort_values(["part", "batch"]).itertuples():
+            out.append((r.part, r.batch, r.g, used, chunk))
+            closed, used = entered(used, list(r.sums), list(r.after), list(r.last), r.total, target, most)
+            chunk += closed
+        return pd.DataFrame(out, columns=["part", "batch", "g", "used", "chunk"])
+
+    states = made.drop("orders", "sizes").groupBy("g").applyInPandas(entries, f"part int, batch int, g {kinds[group]}, used long, chunk long")
+    states = states.select("part", "batch", F.col("g").alias("_g"), "used", "chunk")
+    joined = made.select("g", "part", "batch", "orders", "sizes").alias("m").join(states.alias("s"), ["part", "batch"]).where(F.col("g").eqNullSafe(F.col("_g")))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                used, chunk, chunks = r.used, r.chunk, []
+                for s in r.sizes:
+                    if used and (used >= target or used + s > most):
+                        chunk, used = chunk + 1, 0
+                    used += s
+                    chunks.append(chunk)
+                yield pd.DataFrame({group: [r.g] * len(chunks), order: list(r.orders), size: list(r.sizes), "chunk": chunks, "oversized": [s > most for s in r.sizes]})
+
+    return joined.select("g", "orders", "sizes", "used", "chunk").mapInPandas(fold, f"{group} {kinds[group]}, {order} {kinds[order]}, {size} long, chunk long, oversized boolean")
 
 
 def offsets(packed: DataFrame, group: str, order: str, size: str) -> DataFrame:
