@@ -222,3 +222,17 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold:
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
+
+
+#: SQL for the rows of leaks() at five words and 0.8: windows that hold a shingle of the item, compared shingle by shingle.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+b AS (SELECT item_id, ws, len(ws) AS n, least(5, len(ws)) AS w FROM (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark) WHERE len(ws) > 0),
+g AS (SELECT item_id, n, w, sh, count(*) AS c FROM (SELECT item_id, n, w, array_to_string(ws[i:i + w - 1], ' ') AS sh FROM (SELECT *, unnest(range(1, n - w + 2)) AS i FROM b)) GROUP BY ALL),
+s AS (SELECT doc_id, w, i - 1 AS pos, nd, array_to_string(ws[i:i + w - 1], ' ') AS sh FROM (SELECT doc_id, ws, len(ws) AS nd, w, unnest(range(1, len(ws) - w + 2)) AS i FROM d, (SELECT DISTINCT w FROM b))),
+h AS (SELECT doc_id, item_id, pos, nd, n, s.w, s.sh, c, least(n, nd) - s.w + 1 AS m FROM s JOIN g ON g.w = s.w AND g.sh = s.sh),
+x AS (SELECT DISTINCT doc_id, item_id, nd, n, w, m, unnest(range(greatest(0, pos - m + 1), least(pos, nd - least(n, nd)) + 1)) AS start FROM h),
+y AS (SELECT x.doc_id, x.item_id, start, least(x.n, x.nd) AS size, x.n - x.w + 1 AS mi, x.m, h.sh, least(count(*), any_value(c)) AS common FROM x JOIN h ON h.doc_id = x.doc_id AND h.item_id = x.item_id AND h.pos >= start AND h.pos < start + x.m GROUP BY ALL),
+z AS (SELECT doc_id, item_id, start, size, sum(common) / (any_value(m) + any_value(mi) - sum(common)) AS similarity FROM y GROUP BY doc_id, item_id, start, size)
+SELECT doc_id, item_id, max(similarity) AS similarity, arg_min(start, (-similarity, start)) AS first_word, arg_min(size, (-similarity, start)) AS n_words, count(*) AS windows FROM z WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+"""

@@ -113,7 +113,7 @@ class Index:
                 common = len(self.sets[k].intersection(block))
                 if common >= need:
                     found.append((k, common / size))
-        return found
+        return sorted(found)
 
 
 def positions(words: list[bytes]) -> list[tuple[int, str]]:
@@ -130,7 +130,7 @@ def positions(words: list[bytes]) -> list[tuple[int, str]]:
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the matched blocks.
 
-    blocks: line:label:containment of every match, comma-joined, lines from 0. score: 1 with a phrase, else
+    blocks: line:label:containment of every match, comma-joined by line and template, lines from 0. score: 1 with a phrase, else
     the largest containment, else 0.
     """
     index = Index(templates or TEMPLATES, template_frequency(docs, templates or TEMPLATES), threshold)
@@ -162,3 +162,28 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]
     return only_id_text(docs).mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks string")
+
+
+def oracle() -> str:
+    """SQL for the rows of scan() with the default templates and threshold."""
+    quoted = lambda words: "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+    phrases = ", ".join(f"('{label}', {quoted(p.split())})" for p, label in PHRASES.items())
+    templates = []
+    for k, (label, text) in enumerate(TEMPLATES):
+        own = sorted(set(words_of(text)))
+        templates.append(f"({k}, '{label}', {quoted(own)}, {len(own)}, {math.ceil(0.8 * len(own) - 1e-9)})")
+    return rf"""
+WITH p(label, words) AS (VALUES {phrases}), t(k, label, words, size, need) AS (VALUES {", ".join(templates)}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+w AS (SELECT rid, doc_id, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d),
+s AS (SELECT rid, i - 1 AS place, label FROM (SELECT rid, ws, label, words, unnest(range(1, len(ws) - len(words) + 2)) AS i FROM w, p) WHERE ws[i:i + len(words) - 1] = words),
+b AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM s GROUP BY rid),
+l AS (SELECT rid, line - 1 AS line, list_distinct(regexp_extract_all(code, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws FROM (SELECT rid, unnest(string_split(low, chr(10))) AS code, generate_subscripts(string_split(low, chr(10)), 1) AS line FROM d)),
+m AS (SELECT rid, line, k, label, size, n, n / size AS share FROM (SELECT rid, line, k, label, size, need, len(list_intersect(l.ws, words)) AS n FROM l, t) WHERE n >= need),
+best AS (SELECT rid, label, share FROM (SELECT *, row_number() OVER (PARTITION BY rid, line ORDER BY share DESC, size DESC, k) AS r FROM m) WHERE r = 1),
+a AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM best UNION SELECT rid, label FROM s) GROUP BY rid),
+h AS (SELECT rid, max(share) AS share FROM m GROUP BY rid), k AS (SELECT rid, string_agg(line || ':' || label || ':' || printf('%.3f', share), ',' ORDER BY line, k) AS blocks FROM m GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score, coalesce(blocks, '') AS blocks
+FROM w LEFT JOIN b USING (rid) LEFT JOIN a USING (rid) LEFT JOIN h USING (rid) LEFT JOIN k USING (rid)
+"""
