@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import more
 from .queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "more"]
