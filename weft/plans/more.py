@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from weft.operators import cfg, evidence, graph, merge, pack, program, ranked, r
 from weft.sources import documents
 from weft.streaming import accumulate
 
-from .queries import EVENT_GRAPH, event_graph, query, read
+from .queries import EVENT_GRAPH, ORACLES, event_graph, query, read
 
 # ---------------------------------------------------------------- functions
 
@@ -202,6 +204,16 @@ def rendered_methods(spark, sf_dir):
     return render.method_blobs(methods, none, "v4")
 
 
+@query(ORACLES["ordered_upsert"])
+def streamed_state(spark, sf_dir):
+    """ordered_upsert over the events as a stream: each batch's changed rows are written, the last of each key is the state."""
+    folder = f"{graph.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    fields = read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(fields).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may be a file or a folder
+    accumulate.start(stream, ["user_id", "event_type"], "event_id", ["props", "value"], f"{folder}/out", f"{folder}/state").awaitTermination()
+    return accumulate.current(spark.read.parquet(f"{folder}/out"), ["user_id", "event_type"]).select("user_id", "event_type", "seen", "props", "value")
+
+
 # ---------------------------------------------------------------- graphs
 
 
