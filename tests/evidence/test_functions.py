@@ -71,3 +71,8 @@ def test_backoff(spark):
     assert value(spark, text.backoff(F.lit(1), 30.0, 120.0, F.lit(500.0))) == 120.0
     assert value(spark, text.retryable(F.lit("RateLimitError"), F.lit(None).cast("int"))) is True
     assert value(spark, text.retryable(F.lit(None).cast("string"), F.lit(404))) is False
+
+
+@pytest.mark.parametrize("code, kind", [("true", "Boolean"), ("12", "Int"), ("12L", "Long"), ("1.5f", "Float"), ("1.5", "Double"), ('"x"', "String"), ("mutableListOf(1)", "List"), ("Item(1)", "Item"), ("null", None), ("foo()", None)])
+def test_expression_types(spark, code, kind):
+    assert value(spark, classify.expression_type("a"), a=code) == kind

@@ -96,3 +96,36 @@ def test_contracts_and_usage(spark):
     assert {r["window"]: (r["items"], r["valid"]) for r in program.compaction_window(items).collect()} == {1: (["compaction"], True), 2: ([], False)}
     one = spark.createDataFrame([(1, "method", 0, "A.f"), (1, "method", 1, "B")], "page int, kind string, ord int, name string")
     assert program.provenance(one, one).first()["uids"] == ["method_a_f", "method_b"]
+
+
+def test_lookups_and_aliases(spark):
+    from weft.sources import android
+
+    code = spark.createDataFrame([("A.java", 1, "int SAVE = R2.id.save;"), ("A.java", 2, "x = 1")], "path string, line int, code string")
+    aliases = android.resource_aliases(code)
+    assert [tuple(r) for r in aliases.collect()] == [("A.java", "SAVE", "R.id.save")]
+    calls = spark.createDataFrame([(1, "A.java", "findViewById(R.id.a)"), (2, "A.java", "findViewById(SAVE)"), (3, "A.java", "findViewById(ids[i])")], "node long, path string, code string")
+    assert sorted(tuple(r) for r in android.lookups(calls, aliases).collect()) == [(1, "R.id.a"), (2, "R.id.save"), (3, "UNKNOWN_DYNAMIC_RESOURCE")]
+
+
+def test_external_resources_and_inventories(spark):
+    from weft.sources import android
+
+    xml = '<A xmlns:android="u"><B android:id="@+id/x"/></A>'
+    files = spark.createDataFrame([("lib/one/res/layout/a.xml", xml), ("app/res/layout/b.xml", xml)], "path string, text string")
+    merger = '<merger><dataSet config="g:one:1" from-dependency="true"><source path="lib/one/res"/></dataSet><dataSet config="main"><source path="app/res"/></dataSet></merger>'
+    roots = android.dependency_roots(spark.createDataFrame([("m.xml", merger)], "path string, text string"))
+    assert [tuple(r) for r in roots.collect()] == [("g:one:1", "lib/one/res")]
+    assert [(r["name"], r["coordinate"]) for r in android.external_resources(files, roots).collect()] == [("x", "g:one:1")]
+    docs = spark.createDataFrame([("i.json", '[{"resource_id": "R.id.a", "name": " a ", "owner": " ", "line": "7"}, {"name": "b", "line": "?"}]'), ("j.json", "{}")], "path string, text string")
+    assert sorted((r["name"], r["owner"], r["line"]) for r in android.declared(docs).collect()) == [("a", None, 7), ("b", None, None)]
+
+
+def test_property_uses_and_stats(spark):
+    expressions = spark.createDataFrame([(1, "vm.state", "app.Vm"), (2, "x.state", "Vm"), (3, "y.state", "Other")], "expression int, text string, receiver_type string")
+    properties = spark.createDataFrame([("p1", 1, "app.Vm", "state"), ("p0", 0, "lib.Vm", "state")], "property string, ord int, owner string, name string")
+    assert {tuple(r) for r in program.property_uses(expressions, properties).collect()} == {(1, "p0"), (2, "p0")}
+    before = spark.createDataFrame([(1, "A", False), (2, "B", False), (3, "C", True)], "chunk int, method string, oversized boolean")
+    after = spark.createDataFrame([(1, "A", False), (1, "B", False), (2, "C", True)], "chunk int, method string, oversized boolean")
+    found = program.packing_stats(before, after, spark.createDataFrame([("A", "r"), ("B", "r"), ("C", "s")], "method string, resource string")).first()
+    assert (found["n_before"], found["n_after"], found["n_oversized"], found["n_resources"], found["saved"]) == (3, 2, 1, 2, 1)

@@ -109,3 +109,66 @@ def compile_sdk(files: DataFrame) -> DataFrame:
     catalogue = F.regexp_extract("text", r'(?i)compile_?-?sdk\s*=\s*"([0-9]{2})"', 1)
     rows = files.select("depth", F.when(literal != "", 0).when(catalogue != "", 1).alias("rule"), F.when(literal != "", literal).otherwise(catalogue).alias("sdk"), "path")
     return rows.where("rule is not null").agg(F.min_by("sdk", F.struct("depth", "rule", "path")).cast("int").alias("sdk")).where("sdk is not null")
+
+
+DECLARATIONS = (
+    "resource_id STRING, name STRING, kind STRING, source_type STRING, file STRING, layout_name STRING, tag STRING, binding_class STRING, "
+    "binding_field STRING, line STRING, owner STRING, qualified_id STRING, origin STRING, coordinate STRING, qualifiers STRING"
+)
+
+
+def declared(df: DataFrame) -> DataFrame:
+    """Declarations of inventory documents, blank fields as null, lines that are no numbers as null; several inventories are one table."""
+    from .documents import json_array
+
+    rows = json_array(df, "text", DECLARATIONS)
+    rows = rows.select(*[non_blank(c).alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes])
+    return rows.withColumn("line", F.when(F.col("line").rlike("^[0-9]+$"), F.col("line").cast("int")))
+
+
+def external_resources(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """resources() of the files under dependency roots, with their coordinate: each file sends its parent folders to an equi-join."""
+    parts = F.split("path", "/")
+    up = files.select("path", "text", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("root"))
+    inside = up.join(roots, "root").select("path", "text", "coordinate")
+    found = resources(inside.select("path", "text").distinct())
+    return found.join(inside.select("path", "coordinate").distinct(), "path")
+
+
+def cpg_tables(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """Node and edge tables of a program graph; ids come as text or numbers and are longs from here on."""
+    nodes, edges = spark.read.parquet(f"{path}/cpg_node"), spark.read.parquet(f"{path}/cpg_edge")
+    ids = {c: F.col(c).cast("long") for c in ("id", "method_id") if c in nodes.columns}
+    return nodes.withColumns(ids), edges.withColumns({c: F.col(c).cast("long") for c in ("src", "dst")})
+
+
+def concatenated_sources(files: DataFrame, app: str) -> DataFrame:
+    """app, text: the sources of an application in path order, each below a line with its path."""
+    one = F.concat_ws("\n", F.concat(F.lit("// File: "), F.col("path")), "text")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", one.alias("t")))), lambda x: x["t"]), "\n\n")
+    return source_files(files).join(files.select("path", app).distinct(), "path").groupBy(app).agg(body.alias("text"))
+
+
+def resource_aliases(code: DataFrame) -> DataFrame:
+    """path, name, ref: constants and variables that stand for a resource. code: path, line, code."""
+    at = r"\b(\w+)\s*=\s*(R2?\.id\.\w+)\s*;?"
+    rows = code.select("path", F.regexp_extract("code", at, 1).alias("name"), F.regexp_replace(F.regexp_extract("code", at, 2), r"^R2\.", "R.").alias("ref"))
+    return rows.where("name <> ''").distinct()
+
+
+def lookups(calls: DataFrame, aliases: DataFrame) -> DataFrame:
+    """node, ref: resources that a lookup means: named ones, else those of an alias, else the dynamic resource. calls: node, path, code."""
+    from weft.functions.classify import resource_refs
+
+    direct = calls.select("node", F.explode(resource_refs("code")).alias("ref"))
+    open_ = calls.join(direct.select("node").distinct(), "node", "left_anti")
+    words = open_.select("node", "path", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"(\w+)"), F.lit(1)))).alias("name"))
+    aliased = words.join(aliases, ["path", "name"]).select("node", "ref").distinct()
+    rest = open_.join(aliased.select("node").distinct(), "node", "left_anti").select("node", F.lit("UNKNOWN_DYNAMIC_RESOURCE").alias("ref"))
+    return direct.unionByName(aliased).unionByName(rest)
+
+
+def cfg_lookup(methods: DataFrame, index: DataFrame) -> DataFrame:
+    """method, path of the control-flow artefact of each wanted method: the recorded path, else the one of its key; methods outside the index are left out."""
+    rows = methods.select("method").distinct().join(index, "method")
+    return rows.select("method", F.coalesce(non_blank("cfg_path"), F.concat("key", F.lit(".json"))).alias("path"))
