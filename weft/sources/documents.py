@@ -34,7 +34,8 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def json_array(df: DataFrame, text: str, schema: str) -> DataFrame:
     """path, ord and the fields of each element; what is not an array of such objects has no rows."""
-    rows = df.select("path", F.posexplode(F.from_json(text, f"ARRAY<STRUCT<{_fields(schema)}>>")).alias("ord", "row"))
+    array = F.when(F.ltrim(text).startswith("["), F.col(text))  # the parser takes a single object for an array of one
+    rows = df.select("path", F.posexplode(F.from_json(array, f"ARRAY<STRUCT<{_fields(schema)}>>")).alias("ord", "row"))
     return rows.where("row is not null").select("path", "ord", "row.*")
 
 
