@@ -31,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LOWER, cut, only_id_text, slices, texts
+from ._common import LOWER, cut, only_id_text, slices, stored, texts
 
 BITS = 64
 
@@ -309,9 +309,10 @@ STIR = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD
 
 
 def long_fingerprint(words: list[bytes], width: int, seed: int) -> np.ndarray:
+    """Majority over the distinct shingles, since links are verified on sets of them."""
     if not words:
         return np.zeros(WORDS, np.uint64)
-    h = shingle_hashes(words, width, seed).astype(np.uint64)[:, None] * STIR[None, :]
+    h = np.unique(shingle_hashes(words, width, seed)).astype(np.uint64)[:, None] * STIR[None, :]
     h ^= h >> np.uint64(31)
     h *= STIR[::-1][None, :]
     h ^= h >> np.uint64(29)
@@ -335,55 +336,29 @@ def signatures(docs: DataFrame, width: int, seed: int) -> DataFrame:
     return only_id_text(docs).mapInArrow(run, "doc_id long, words binary, " + ", ".join(f"w{k} long" for k in range(WORDS)))
 
 
-def close_pairs(fp: np.ndarray, more: np.ndarray, node: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Pairs of distinct nodes within the radius over two words; where there are over four for each node, a minimum spanning forest of them."""
+def close_pairs(fp: np.ndarray, more: np.ndarray, node: np.ndarray, radius: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of distinct nodes within the radius over two words; where there are over four for each node, stars with their components, and True."""
     order = np.argsort(node)
     fp, more, node = fp[order], more[order], node[order]
-    n = len(fp)
-    kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    n, dense = len(fp), False
+    kept = (np.zeros(0, np.int64), np.zeros(0, np.int64))
     step = max(1, (1 << 20) // max(n, 1))
     for at in range(0, n, step):
         d = np.bitwise_count(fp[at : at + step, None] ^ fp[None, :]) + np.bitwise_count(more[at : at + step, None] ^ more[None, :])
         x, y = np.nonzero(d <= radius)
-        away = d[x, y].astype(np.int64)
         x = x + at
         up = x < y
-        kept = tuple(np.concatenate(p) for p in zip(kept, (x[up], y[up], away[up]), strict=True))
+        kept = tuple(np.concatenate(p) for p in zip(kept, (x[up], y[up]), strict=True))
         if len(kept[0]) > 4 * n:
-            kept = boruvka(n, *kept)
+            kept, dense = merged(n, [kept]), True
+    if dense:
+        kept = merged(n, [kept])
     a, b = node[kept[0]], node[kept[1]]
-    return list(zip(a.tolist(), b.tolist(), strict=True))
-
-
-def boruvka(n: int, x: np.ndarray, y: np.ndarray, away: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A minimum spanning forest of the weighted links."""
-    if not len(x):
-        return x, y, away
-    order = np.lexsort((y, x, away))
-    x, y, away = x[order], y[order], away[order]
-    label, chosen = np.arange(n), np.zeros(len(x), bool)
-    alive = np.arange(len(x))
-    while len(alive):
-        first = np.full(n, len(x))
-        np.minimum.at(first, label[x[alive]], alive)
-        np.minimum.at(first, label[y[alive]], alive)
-        take = np.unique(first[first < len(x)])
-        chosen[take] = True
-        while True:
-            low = np.minimum(label[x[take]], label[y[take]])
-            new = label.copy()
-            np.minimum.at(new, label[x[take]], low)
-            np.minimum.at(new, label[y[take]], low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        alive = alive[label[x[alive]] != label[y[alive]]]
-    return x[chosen], y[chosen], away[chosen]
+    return list(zip(a.tolist(), b.tolist(), strict=True)), dense
 
 
 def near_pairs(nodes: DataFrame, loose: int, block: int, parts: int) -> DataFrame:
-    """a, b: pairs of nodes (node, w0 ..) that meet in a cell of some word and are within `loose` bits of it and the next one; forests of dense cells."""
+    """a, b, dense: pairs of nodes (node, w0 ..) that meet in a cell of some word and are within `loose` bits of it and the next one; of dense cells stars that join the same nodes."""
     rows = None
     for w in range(WORDS):
         word = nodes.select(F.col(f"w{w}").alias("fp"), F.col(f"w{(w + 1) % WORDS}").alias("more"), "node")
@@ -402,17 +377,18 @@ def near_pairs(nodes: DataFrame, loose: int, block: int, parts: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: set[tuple[int, int]] = set()
+            out: set[tuple[int, int, bool]] = set()
             lists = b.column(0)
             at, (f, m, v) = lists.offsets.to_numpy(), (x.to_numpy(zero_copy_only=False) for x in lists.values.flatten())
             f, m = f.view(np.uint64), m.view(np.uint64)
             for i in range(b.num_rows):
                 own = slice(at[i], at[i + 1])
-                out.update(close_pairs(f[own], m[own], v[own], loose))
-            x = np.array(sorted(out), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+                found, dense = close_pairs(f[own], m[own], v[own], loose)
+                out.update((x, y, dense) for x, y in found)
+            x = np.array(sorted(out), np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2] == 1)], names=["a", "b", "dense"])
 
-    return packed.select("rows").mapInArrow(run, "a long, b long").distinct()
+    return packed.select("rows").mapInArrow(run, "a long, b long, dense boolean").distinct()
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
@@ -446,20 +422,101 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) ->
     return texts_of.mapInArrow(run, "a long, b long")
 
 
+def untried(own: dict[str, np.ndarray], other: dict[str, np.ndarray], most: int, each: int) -> tuple[np.ndarray, ...]:
+    """(node, other, bits apart, the node's label): for each own node its `each` nearest of other labels that are within `most` bits and not tried.
+
+    A pair has been tried if it is not beyond (far, upto), the last tried (bits, node), of either of its nodes.
+    """
+    out: list[tuple[np.ndarray, ...]] = []
+    step = max(1, (1 << 19) // max(len(other["node"]), 1))
+    for at in range(0, len(own["node"]), step):
+        a = {k: v[at : at + step] for k, v in own.items()}
+        d = sum(np.bitwise_count(a[f"w{k}"].view(np.uint64)[:, None] ^ other[f"w{k}"].view(np.uint64)[None, :]).astype(np.int16) for k in range(WORDS))
+        x, y = np.nonzero((d <= most) & (a["label"][:, None] != other["label"][None, :]))
+        away, m, n = d[x, y].astype(np.int64), a["node"][x], other["node"][y]
+        ok = (away > a["far"][x]) | ((away == a["far"][x]) & (n > a["upto"][x]))
+        ok &= (away > other["far"][y]) | ((away == other["far"][y]) & (m > other["upto"][y]))
+        x, away, m, n = x[ok], away[ok], m[ok], n[ok]
+        order = np.lexsort((n, away, x))
+        x, away, m, n = x[order], away[order], m[order], n[order]
+        near = np.arange(len(x)) - np.searchsorted(x, x) < each
+        out.append((m[near], n[near], away[near], a["label"][x[near]]))
+    return tuple(np.concatenate(p) for p in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+
+
+def settled(families: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, most: int, block: int, width: int, threshold: float) -> DataFrame:
+    """labels (node, label) joined further by all verified links within families (node, family).
+
+    In each round every node proposes its nearest pairs with nodes of other labels that have not been tried, and every label tries the
+    nearest of these on the texts. What holds joins labels, what fails is behind its node's mark. Rounds grow and end
+    when no pair within `most` bits joins two labels untried; so every such pair has been tested, or its ends are joined without it.
+    """
+    texts_of = stored(docs.join(families.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"))
+    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    mine = families.join(sizes, "family").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    span = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("mine"), o).alias("low"), F.greatest(F.col("mine"), o).alias("high")))
+    members = cut(mine.select("family", "mine", "node", F.explode(span).alias("cell")))
+    words = [f"w{k}" for k in range(WORDS)]
+    marks = cut(families.join(nodes, "node").select("node", *words, F.lit(-1).cast("long").alias("far"), F.lit(-1).cast("long").alias("upto")))
+    fields = ["node", "label", "far", "upto", *words]
+    live, each, tries = members, 1, 4
+    while True:
+        known = marks.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        side = F.col("mine") == F.col("cell.low")
+        whole = live.join(known, "node").groupBy("family", "cell").agg(
+            F.collect_list(F.when(side, F.struct(*fields))).alias("own"), F.collect_list(F.when(~side, F.struct(*fields))).alias("other")
+        )
+
+        def run(batches: Iterator[pa.RecordBatch], each: int = each) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lists = [(c.offsets.to_numpy(), dict(zip(fields, (v.to_numpy(zero_copy_only=False) for v in c.values.flatten()), strict=True))) for c in (b.column(1), b.column(2))]
+                for i in range(b.num_rows):
+                    own, other = ({k: v[at[i] : at[i + 1]] for k, v in cols.items()} for at, cols in lists)
+                    within = not len(other["node"])
+                    ways = [(own, own)] if within else [(own, other), (other, own)]
+                    for x, y in ways:
+                        m, n, away, label = untried(x, y, most, each)
+                        family = pa.array(np.full(len(m), b.column(0)[i].as_py(), np.int64))
+                        yield pa.RecordBatch.from_arrays([family, *map(pa.array, (m, n, away, label))], names=["family", "node", "other", "away", "label"])
+
+        found = whole.select("family", "own", "other").mapInArrow(run, "family long, node long, other long, away long, label long")
+        mark = Window.partitionBy("node").orderBy("away", "other")
+        found = found.withColumn("r", F.row_number().over(mark)).where(F.col("r") <= each).drop("r")
+        turn = Window.partitionBy("label").orderBy("away", "node", "other")
+        found = found.withColumn("r", F.row_number().over(turn)).where(F.col("r") <= tries)
+        found = cut(found.select("family", "node", "other", "away"))
+        if not found.limit(1).count():
+            return labels
+        pairs = found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        good = cut(verified(pairs, texts_of, width, threshold))
+        labels = components(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(good))
+        last = found.groupBy("node").agg(F.max(F.struct("away", "other")).alias("last"))
+        marks = cut(marks.join(last, "node", "left").select("node", *words, F.coalesce("last.away", "far").alias("far"), F.coalesce("last.other", "upto").alias("upto")))
+        live = members.join(cut(found.select("family").distinct()), "family", "left_semi")
+        each, tries = 8 * each, 64 * tries
+
+
 def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, loose: int = 36, most: int = 60, parts: int = 6, block: int = 1024, seed: int = 42) -> DataFrame:
     """doc_id, component_id: documents (distinct non-null ids) linked by shingle similarity of `threshold` or more.
 
     Copies (equal lower-cased words) are one node. Candidates meet in a cell of one of four 64-bit SimHash words,
-    each with its own partitions and thresholds, and are within `loose` bits of it and the next word; a cell with more than four such
-    pairs for each of its documents sends on their minimum spanning forest instead. Of these, pairs within `most` of all 256 bits are verified on the texts. Two
+    each with its own partitions and thresholds, and are within `loose` bits of it and the next word. Of these, pairs within `most` of
+    all 256 bits are verified on the texts. A cell with more than four such pairs for each of its documents sends on only which
+    documents hang together; in each family that these make up, all pairs within `most` bits are candidates, tried nearest
+    first until none is left that would join two groups. Fingerprints are of distinct shingles, as is the similarity. Two
     documents at the threshold differ in about 19 of 128 and 39 of 256 bits (deviations 4 and 6) and meet with a chance
     of 0.99; closer ones hardly ever miss.
     """
     rows = only_id_text(docs).where("doc_id is not null")
     one = cut(signatures(rows, width, seed))
     nodes = cut(one.groupBy("words").agg(F.min("doc_id").alias("node"), *(F.first(f"w{k}").alias(f"w{k}") for k in range(WORDS))))
-    pairs = cut(alike(near_pairs(nodes, loose, block, parts), nodes, most))
+    near = cut(near_pairs(nodes, loose, block, parts))
+    pairs = alike(near.where("not dense").select("a", "b"), nodes, most)
     labels = components(cut(verified(pairs, rows, width, threshold)))
+    dense = near.where("dense").select("a", "b")
+    if dense.limit(1).count():
+        families = components(dense).withColumnRenamed("label", "family")
+        labels = settled(families, labels, nodes, rows, most, block, width, threshold)
     named = nodes.select("words", "node").join(labels, "node", "left").select("words", F.coalesce("label", "node").alias("component_id"))
     return one.select("doc_id", "words").join(named, "words").select("doc_id", "component_id")
 
