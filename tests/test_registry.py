@@ -41,9 +41,12 @@ def test_query(spark, duck, name):
 
 
 def test_without_the_optional_parts(tmp_path):
-    for x in ("weft", "__spark_entry__.py"):
+    for x in ("weft", "__spark_entry__.py", "corpus_pipeline.py"):
+        if not os.path.exists(f"{ROOT}/{x}"):
+            continue
         copy = shutil.copytree if os.path.isdir(f"{ROOT}/{x}") else shutil.copy
         copy(f"{ROOT}/{x}", tmp_path / x)
     shutil.rmtree(tmp_path / "weft" / "llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and 'bundle' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
