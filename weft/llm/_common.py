@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -20,30 +21,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared checkpoint folder and go on from there.
-
-    Lineage ends here: what follows reads the written copy, also after an executor is lost. The
-    folder is the session's spark.checkpoint.dir; only where that is unset (tests on one machine)
-    a temporary one is set.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one, but only if all tasks run on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "weft-checkpoints"))
     return sc.getCheckpointDir()
 
 
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Like cut, as a Parquet table: for wide rows of which later readers may want some columns only."""
+    """Write df once as a Parquet table of the shared folder and go on from there.
+
+    Lineage ends here: what follows reads the written copy, also after an executor is lost, and only the columns it needs.
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
+
+
+cut = stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what stored() wrote for these, once nothing that is still to run reads it."""
+    for t in tables:
+        if path := _PLACES.pop(t, None):
+            sc = t.sparkSession.sparkContext
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df hasn't."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, how: str = "inner", most: int = 1 << 16) -> DataFrame:
+    """left joined with right, in which `key` is unique. A key that over `most` rows of left share is dealt over as many tasks as it needs."""
+    hot = stored(left.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_salts")).where("_salts > 1"))
+    if hot.isEmpty():
+        discard(hot)
+        return left.join(right, key, how)
+    dealt = left.join(hot, key, "left").withColumn("_salt", F.floor(F.rand(7) * F.coalesce("_salts", F.lit(1))).cast("int"))
+    copies = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+    return dealt.drop("_salts").join(copies.drop("_salts"), [key, "_salt"], how).drop("_salt")
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

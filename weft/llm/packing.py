@@ -12,8 +12,9 @@ than a sequence is packed:
   solutions); the best island's solution counts. An island stops at the volume bound.
 - Pieces of bins that stay poorly filled are pooled across districts and packed again.
 
-Tokens come from the byte-level BPE of the given rank file (`tokenizer`), whose ids are those of the
-"tokenizers" file of the same vocabulary; special strings in a text are ordinary text.
+Token ids are those that the "tokenizers" library gives with its default settings for `byte_bpe_50k.json`, the special string
+in a text included. They are computed with tiktoken from the rank file of the same vocabulary (`tokenizer`), which gives
+the same ids seven times as fast; tests compare the two.
 
 Defined cases: a null or empty text is the end id alone; null and repeated ids are rows like any others (each
 row is packed once); an empty table gives no rows; further columns are ignored.
@@ -36,6 +37,9 @@ from pyspark.sql import functions as F
 
 from ._common import cut, only_id_text, slices
 
+# Fixed value: the added token of the vocabulary.
+SPECIAL = {"<|endoftext|>": 50256}
+
 _ENCODING: dict = {}
 
 
@@ -43,7 +47,7 @@ def encoding(path: str) -> tiktoken.Encoding:
     if path not in _ENCODING:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODING[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODING[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
     return _ENCODING[path]
 
 
@@ -55,7 +59,7 @@ def pieces(docs: DataFrame, size: int, end_id: int, tokenizer: str) -> DataFrame
         for b in slices(batches):
             out: list[list[int | None]] = [[] for _ in names]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.array([*enc.encode_ordinary(text or ""), end_id], "<u4")
+                ids = np.array([*enc.encode(text or "", allowed_special="all"), end_id], "<u4")
                 first = len(ids) % size or size
                 edges = [0, *range(first, len(ids) + 1, size)]
                 for k, (a, z) in enumerate(zip(edges, edges[1:], strict=False)):

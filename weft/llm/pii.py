@@ -37,7 +37,7 @@ MAX_TOKENS = 6
 CONTEXT = 5
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -55,10 +55,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if "@" in text:
         last = 0
         for m in DOMAIN.finditer(text):
-            before = text[last : m.start()]
-            name = len(before) - len(before.rstrip(LOCAL))
-            if name:
-                found.append((m.start() - name, m.end(), 0))
+            start = m.start()
+            while start > last and text[start - 1] in LOCAL:  # what is walked back over belongs to one address only
+                start -= 1
+            if start < m.start():
+                found.append((start, m.end(), 0))
                 last = m.end()
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
@@ -98,11 +99,13 @@ NAMES = (
 AT = {name: i for i, name in enumerate(NAMES)}
 
 
-def features(span: str, tokens: int, before: str) -> list[int]:
+@lru_cache(maxsize=1 << 15)
+def features(span: str, tokens: int, hint: str) -> list[int]:
+    """Numbers of the features of a span of so many tokens behind a hint word (or nothing)."""
     on = [AT[f"shape {k}"] for k, p in SHAPES.items() if p.fullmatch(span)]
     if on:
         on.append(AT["one shape at least"])
-    if (hint := before.lower().strip(EDGE)) in HINTS:
+    if hint:
         on.append(AT[f"after {hint}"])
     digits = NOT_DIGIT.sub("", span)
     n = len(digits)
@@ -127,7 +130,8 @@ def lattice(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, in
     """Candidate segments (first token, end token, start, end, features); edge punctuation is left outside."""
     out = []
     for i, (start, _) in enumerate(tokens):
-        before = text[slice(*tokens[i - 1])] if i else ""
+        before = text[slice(*tokens[i - 1])].lower().strip(EDGE) if i else ""
+        hint = before if before in HINTS else ""
         for j in range(i + 1, min(i + MAX_TOKENS, len(tokens)) + 1):
             span = text[start : tokens[j - 1][1]]
             if len(span) > 120:
@@ -135,7 +139,7 @@ def lattice(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, in
             left = len(span) - len(span.lstrip(EDGE + "[<{"))
             body = span.strip(EDGE + "[<{").rstrip(">}]")
             if body and any(c.isdigit() or c == "@" for c in body) or " dot " in body or "at]" in body or "at)" in body:
-                out.append((i, j, start + left, start + left + len(body), features(body, j - i, before)))
+                out.append((i, j, start + left, start + left + len(body), features(body, j - i, hint)))
     return out
 
 
