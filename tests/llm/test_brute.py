@@ -206,6 +206,50 @@ def test_similar_groups(spark, documents):
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame).collect()} == want
 
 
+def edited(words: list[str], share: float, r: random.Random) -> list[str]:
+    return [f"x{r.randrange(10**6)}" if r.random() < share else w for w in words]
+
+
+def test_dense_families(spark):
+    """Near copies of a few texts, of which about half the pairs hold, cut into many small blocks."""
+    r = random.Random(6)
+    rows = []
+    for n in (60, 120, 300):
+        base = [f"w{r.randrange(500)}" for _ in range(n)]
+        rows += [" ".join(edited(base, r.choice([0.005, 0.01, 0.02, 0.03]), r)) for _ in range(70)]
+    r.shuffle(rows)
+    docs = list(enumerate(rows))
+    bags = [shingle_set(t.encode()) for _, t in docs]
+    label = linked(list(range(len(docs))), lambda x, y: alike(bags[x], bags[y]))
+    want = sorted(sorted(docs[i][0] for i in g) for g in by(label).values())
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = simhash.similar_groups(frame, block=32, block_bytes=20_000, pivots=2).collect()
+    texts = collections.defaultdict(list)
+    for r in found:
+        texts[r["component_id"]].append(r["doc_id"])
+    assert sorted(sorted(v) for v in texts.values()) == want
+    kept = simhash.drop_near_duplicates(frame, block=32, block_bytes=20_000, pivots=2).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(v[0] for v in want)
+
+
+def test_unlike_texts_of_one_id(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(80)) for c in "xy")
+    frame = spark.createDataFrame([(1, x), (1, y), (2, x), (2, x)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"][0]) for r in simhash.drop_near_duplicates(frame).collect()) == [(1, "x"), (1, "y")]
+
+
+def test_hot_keys(spark):
+    from weft.llm._common import looked_up
+
+    left = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 7, id % 50) AS k")
+    right = spark.range(40).selectExpr("id AS k", "id * 2 AS v")
+    for how in ("inner", "left"):
+        rows = sorted((r["id"], r["k"], r["v"]) for r in looked_up(left, right, "k", how, most=100).collect())
+        assert rows == sorted((r["id"], r["k"], r["v"]) for r in left.join(right, "k", how).collect())
+    edges = spark.range(3000).selectExpr("id % 7 AS a", "100 + id AS b")
+    assert {r["node"]: r["label"] for r in simhash.components(edges, most=64).collect()} == {**{i: i for i in range(7)}, **{100 + i: i % 7 for i in range(3000)}}
+
+
 def packed_well(rows, size: int) -> None:
     by_sequence = collections.defaultdict(list)
     for r in rows:

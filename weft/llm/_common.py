@@ -73,7 +73,7 @@ def looked_up(left: DataFrame, right: DataFrame, key: str, how: str = "inner", m
     if hot.isEmpty():
         discard(hot)
         return left.join(right, key, how)
-    dealt = left.join(hot, key, "left").withColumn("_salt", F.floor(F.rand(7) * F.coalesce("_salts", F.lit(1))).cast("int"))
+    dealt = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("_salts", F.lit(1))).cast("int"))
     copies = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
     return dealt.drop("_salts").join(copies.drop("_salts"), [key, "_salt"], how).drop("_salt")
 

@@ -15,7 +15,7 @@ Links are found among distinct fingerprints only, so exact copies cost one row:
    Cells are verified with one XOR and popcount per pair. Large cells are split into blocks, and each pair
    of blocks is a row of its own, so no task holds a cell. Of the links in a cell only a spanning forest
    leaves it: no group emits its pairs, and no component changes.
-4. Components: smallest label by repeated joins with pointer jumping, each round cut at a checkpoint.
+4. Components: smallest label by repeated joins with pointer jumping, each round written to the shared folder; hubs are dealt over several tasks.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links like any
 other; rows with a null id keep their row and link by their text, and a class that has no id at all
@@ -34,7 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LOWER, cut, only_id_text, slices, stored, texts
+from pyspark.sql import types as T
+
+from ._common import LOWER, discard, looked_up, only_id_text, slices, stored, texts, unused
 
 BITS = 64
 
@@ -79,24 +81,25 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
 # ---------------------------------------------------------------- partitions and thresholds
 
 
-def bit_moments(fps: DataFrame) -> tuple[int, np.ndarray]:
-    """How many fingerprints there are, and how often each pair of bits is set together; 64 x 64 numbers."""
+def bit_moments(fps: DataFrame, names: list[str]) -> tuple[int, np.ndarray]:
+    """How many rows there are, and for each word how often each pair of its bits is set together; 64 x 64 numbers a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((BITS, BITS))
+        both = np.zeros((len(names), BITS, BITS))
         n = 0
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            bits = np.unpackbits(fp.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, BITS).astype(np.float64)
-            both += bits.T @ bits
-            n += len(fp)
+            for k in range(len(names)):
+                fp = b.column(k).to_numpy(zero_copy_only=False).view(np.uint64)
+                bits = np.unpackbits(fp.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, BITS).astype(np.float32)
+                both[k] += bits.T @ bits
+            n += b.num_rows
         cells = pa.array(np.concatenate(([n], both.ravel())).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS + 1)), cells], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(both.size + 1)), cells], names=["cell", "n"])
 
-    sums = np.zeros(BITS * BITS + 1)
-    for r in fps.select("fp").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    sums = np.zeros(len(names) * BITS * BITS + 1)
+    for r in fps.select(*names).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         sums[r["cell"]] = r["n"]
-    return int(sums[0]), sums[1:].reshape(BITS, BITS)
+    return int(sums[0]), sums[1:].reshape(-1, BITS, BITS)
 
 
 def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
@@ -149,9 +152,9 @@ def project(fp, group: list[int]):
     return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
 
 
-def plan(fps: DataFrame, radius: int, choices: tuple[int, ...] = (3, 4), probe_cost: float = 30.0) -> list[tuple[list[int], int]]:
+def plan(fps: DataFrame, radius: int, choices: tuple[int, ...] = (2, 3, 4, 5), probe_cost: float = 30.0) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each probed partition. A probe row costs about as much as `probe_cost` verified pairs."""
-    n, both = bit_moments(fps)
+    n, (both,) = bit_moments(fps, ["fp"])
     groups = {m: group_bits(n, both, m) for m in choices if m <= radius + 1}
     flat = [(m, i, g) for m, gs in groups.items() for i, g in enumerate(gs)]
     keyed = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), project(F.col("fp"), g).alias("key")) for k, (_, _, g) in enumerate(flat)]))
@@ -186,27 +189,34 @@ def flips(group: list[int], most: int) -> list[int]:
 # ---------------------------------------------------------------- candidate cells
 
 
-def forest(own: np.ndarray, other: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """(smallest member, member) for each component of the links between own and other, both np.uint64.
+def stars(fp: np.ndarray, node: np.ndarray, own: int, radius: int) -> list[tuple[int, int]]:
+    """(one member, another) with the components of all links within `radius` bits of which at least one end is among the first `own` rows.
 
-    With an empty `other`, links within own.
+    fp: rows x words. With several words, a pair within the radius is within its half on one half of the words, so that is asked first.
     """
-    every = np.unique(np.concatenate((own, other)))
-    a = every if not len(other) else np.unique(own)
-    b = every if not len(other) else np.unique(other)
-    near, step = [], max(1, (1 << 20) // max(len(b), 1))
-    for at in range(0, len(a), step):
-        x, y = np.nonzero(np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= radius)
-        x, y = a[x + at], b[y]
-        keep = x != y
-        x, y = np.searchsorted(every, x[keep]), np.searchsorted(every, y[keep])
-        near.append((x, y))
-        if sum(len(p) for p, _ in near) > 1 << 20:  # a dense cell: keep only what the links amount to
-            near = [merged(len(every), near)]
-    if not any(len(p) for p, _ in near):
+    n, words = fp.shape
+    near, held, step = [], 0, max(1, (1 << 20) // max(n, 1))
+    cols = np.ascontiguousarray(fp.T)
+    for at in range(0, own, step):
+        d = [np.bitwise_count(c[at : min(at + step, own), None] ^ c[None, :]) for c in cols]
+        if words == 1:
+            x, y = np.nonzero(d[0] <= radius)
+        else:
+            half = words // 2
+            x, y = np.nonzero((sum(d[:half]) <= radius // 2) | (sum(d[half:]) <= radius // 2))
+            close = sum(e[x, y].astype(np.int64) for e in d) <= radius
+            x, y = x[close], y[close]
+        x = x + at
+        up = (x < y) & (node[x] != node[y])
+        near.append((x[up], y[up]))
+        held += len(near[-1][0])
+        if held > 1 << 20:  # a dense cell: keep only what the links amount to
+            near = [merged(n, near)]
+            held = len(near[0][0])
+    if not held:
         return []
-    roots, members = merged(len(every), near)
-    return list(zip(every[roots].view(np.int64).tolist(), every[members].view(np.int64).tolist(), strict=True))
+    roots, members = merged(n, near)
+    return list(zip(node[roots].tolist(), node[members].tolist(), strict=True))
 
 
 def merged(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -226,76 +236,108 @@ def merged(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarr
     return label[members], members
 
 
-def links(fps: DataFrame, radius: int = 4, block: int = 2048, choices: tuple[int, ...] = (3, 4)) -> DataFrame:
-    """a, b: pairs of distinct fingerprints, all within chains of links, that have the components of all links."""
-    parts = plan(fps, radius, choices)
-    rows = None
-    for k, (group, t) in enumerate(parts):
-        own = fps.select(F.lit(k).alias("part"), project(F.col("fp"), group).alias("key"), "fp", F.lit(False).alias("probe"))
-        rows = own if rows is None else rows.unionAll(own)
-        if t > 0:
-            masks = F.explode(F.array(*[F.lit(m) for m in flips(group, t)]))
-            probes = fps.select("fp", masks.alias("flip"))
-            rows = rows.unionAll(probes.select(F.lit(k), project(F.col("fp"), group).bitwiseXOR(F.col("flip")), "fp", F.lit(True)))
-    sizes = rows.groupBy("part", "key").agg(F.count("*").alias("n"), F.count_if(~F.col("probe")).alias("n_own"))
-    sizes = sizes.where("n > 1 and n_own > 0")
-    blocks = F.ceil(F.col("n") / block).cast("long")
-    cells = rows.join(sizes, ["part", "key"]).withColumn("blocks", blocks)
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    # each row meets every block: cell (low, high) has the rows of both blocks
-    span = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("mine"), o).alias("low"), F.greatest(F.col("mine"), o).alias("high")))
-    cells = cells.withColumn("mine", mine).select("part", "key", "fp", "probe", F.explode(span).alias("cell"))
-    packed = cells.groupBy("part", "key", "cell").agg(
-        F.collect_list(F.when(~F.col("probe"), F.col("fp"))).alias("own"), F.collect_list(F.when(F.col("probe"), F.col("fp"))).alias("other")
-    )
+def cell_links(rows: DataFrame, names: list[str], radius: int, block: int) -> DataFrame:
+    """a, b: pairs of nodes with the components of all links that meet in a cell.
+
+    rows: part, key (the cell), probe (whether the row only looks in), node, and its words `names`. A cell of more than `block` rows is split
+    into blocks, and each pair of blocks is a row of its own.
+    """
+    big = stored(rows.groupBy("part", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"))
+    cells = rows.join(big, ["part", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    span = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("mine"), o).alias("low"), F.greatest(F.col("mine"), o).alias("high")))
+    fields = F.struct("node", *names)
+    cells = cells.withColumn("mine", mine).select("part", "key", "probe", fields.alias("row"), F.explode(span).alias("cell"))
+    packed = cells.groupBy("part", "key", "cell").agg(F.collect_list(F.when(~F.col("probe"), F.col("row"))).alias("own"), F.collect_list(F.when(F.col("probe"), F.col("row"))).alias("other"))
+    packed = packed.where((F.size("own") > 0) & (F.size("own") + F.size("other") > 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: set[tuple[int, int]] = set()
-            lists = []
-            for name in ("own", "other"):
-                col = b.column(b.schema.get_field_index(name))
-                lists.append((col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False).view(np.uint64)))
-            (oo, ov), (po, pv) = lists
+            sides = []
+            for c in (b.column(0), b.column(1)):
+                cols = [x.to_numpy(zero_copy_only=False) for x in c.values.flatten()]
+                sides.append((c.offsets.to_numpy(), cols[0], np.stack([x.view(np.uint64) for x in cols[1:]], 1)))
+            (oo, on, of), (po, pn, pf) = sides
             for i in range(b.num_rows):
-                own, other = ov[oo[i] : oo[i + 1]], pv[po[i] : po[i + 1]]
-                out.update(forest(own, other[:0], radius))
-                if len(other):
-                    out.update(forest(own, other, radius))
+                o, p = slice(oo[i], oo[i + 1]), slice(po[i], po[i + 1])
+                found = stars(np.concatenate((of[o], pf[p])), np.concatenate((on[o], pn[p])), o.stop - o.start, radius)
+                out.update(found)
             x = np.array(sorted(out), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
     return packed.select("own", "other").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def dealt(nodes: DataFrame, names: list[str], parts: list[tuple[str, list[int], int]]) -> DataFrame:
+    """Every node in the cell of its own bits of each part (word, bits, flips), and as a probe in those within so many flips."""
+    rows = None
+    for k, (word, group, t) in enumerate(parts):
+        own = nodes.select(F.lit(k).alias("part"), project(F.col(word), group).alias("key"), F.lit(False).alias("probe"), "node", *names)
+        rows = own if rows is None else rows.unionAll(own)
+        if t > 0:
+            masks = F.explode(F.array(*[F.lit(m) for m in flips(group, t)]))
+            probes = nodes.select("node", *names, masks.alias("flip"))
+            rows = rows.unionAll(probes.select(F.lit(k), project(F.col(word), group).bitwiseXOR(F.col("flip")), F.lit(True), "node", *names))
+    return rows
+
+
+def links(fps: DataFrame, radius: int = 4, block: int = 8192, choices: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
+    """a, b: pairs of distinct fingerprints, all within chains of links, that have the components of all links."""
+    parts = [("fp", g, t) for g, t in plan(fps, radius, choices)]
+    return cell_links(dealt(fps.withColumn("node", F.col("fp")), ["fp"], parts), ["fp"], radius, block)
+
+
+def components(edges: DataFrame, most: int = 1 << 16) -> DataFrame:
     """node, label (smallest node reachable) for all nodes of edges (a, b).
 
-    Labels take the minimum over their neighbours and then over their label's label, until none changes.
+    Labels take the minimum over their neighbours and then over their label's label, until none changes. A node of over `most` edges
+    answers from several copies, so a giant class is no single task's work.
     """
-    both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    both = stored(edges.select("a", "b").unionAll(edges.select(F.col("b"), F.col("a"))).distinct())
+    hubs = stored(both.groupBy(F.col("b").alias("node")).agg(F.ceil(F.count("*") / most).cast("int").alias("salts")).where("salts > 1"))
+    salted = not hubs.isEmpty()
+    if salted:
+        salts = F.coalesce("salts", F.lit(1))
+        plain = both
+        both = stored(both.join(hubs, both["b"] == hubs["node"], "left").select("a", "b", F.pmod(F.xxhash64("a"), salts).cast("int").alias("salt")))
+        discard(plain)
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         by = labels.select(F.col("node").alias("b"), F.col("label").alias("other"))
-        near = both.join(by, "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
+        if salted:
+            copies = by.join(hubs, by["b"] == hubs["node"], "left").select("b", "other", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+            near = both.join(copies, ["b", "salt"])
+        else:
+            near = both.join(by, "b")
+        near = near.groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
         step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "other").alias("label"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = cut(step.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
-        changed = new.where("was <> label").limit(1).count()
-        labels = new.select("node", "label")
+        if salted:
+            step = stored(step)
+            jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            new = looked_up(step, jump, "label", "left", most)
+        else:
+            new = step.join(jump, "label", "left")
+        new = stored(new.select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
+        changed = not new.where("was <> label").isEmpty()
+        discard(labels, *([step] if salted else []))
+        labels = new
         if not changed:
-            return labels
+            discard(both, hubs)
+            return labels.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42, block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42, block: int = 8192) -> DataFrame:
     """doc_id, fp, component_id for every row."""
-    rows = cut(fingerprints(docs, width, seed))
-    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    labels = components(links(fps, radius, block))
+    rows = stored(fingerprints(docs, width, seed))
+    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    labels = components(links(fps.select("fp"), radius, block))
     fps = fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    fps = stored(fps)
     firsts = fps.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = fps.join(firsts, "label").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = looked_up(fps, firsts, "label").select("fp", "component_id")
+    return looked_up(rows, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def as_hex(fp):
@@ -305,225 +347,241 @@ def as_hex(fp):
 # ---------------------------------------------------------------- groups of verified similarity
 
 WORDS = 4  # 64-bit words of the long fingerprint
+NAMES = [f"w{k}" for k in range(WORDS)]
 STIR = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def long_fingerprint(words: list[bytes], width: int, seed: int) -> np.ndarray:
-    """Majority over the distinct shingles, since links are verified on sets of them."""
-    if not words:
-        return np.zeros(WORDS, np.uint64)
-    h = np.unique(shingle_hashes(words, width, seed)).astype(np.uint64)[:, None] * STIR[None, :]
+def long_fingerprint(h: np.ndarray) -> np.ndarray:
+    """Majority over the distinct shingles (their XXH64), since links are verified on sets of them."""
+    h = h.astype(np.uint64)[:, None] * STIR[None, :]
     h ^= h >> np.uint64(31)
     h *= STIR[::-1][None, :]
     h ^= h >> np.uint64(29)
     return majority(h.astype("<u8"))
 
 
-def signatures(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """doc_id, words (MD5 of the lower-cased words, so copies share it) and the long fingerprint w0 .. w3."""
+def signed_rows(docs: DataFrame, text_col: str, names: dict[str, str], width: int, seed: int) -> DataFrame:
+    """docs with MD5 of the lower-cased words (copies share it), the set of shingles (sorted XXH64) and the long fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            fp, same = np.zeros((b.num_rows, WORDS), np.uint64), []
-            for i, t in enumerate(texts(b)):
+        for b in slices(batches, name=text_col):
+            fp, same, bags = np.zeros((b.num_rows, WORDS), np.uint64), [], []
+            for i, t in enumerate(texts(b, text_col)):
                 words = t.translate(LOWER).split()
-                fp[i] = long_fingerprint(words, width, seed)
+                bag = np.unique(shingle_hashes(words, width, seed)) if words else np.zeros(0, "<u8")
+                if words:
+                    fp[i] = long_fingerprint(bag)
                 same.append(hashlib.md5(b" ".join(words)).digest())
+                bags.append(bag.tobytes())
             bits = fp.view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), *(pa.array(bits[:, k].copy()) for k in range(WORDS))], names=names)
-
-    names = ["doc_id", "words", *(f"w{k}" for k in range(WORDS))]
-    return only_id_text(docs).mapInArrow(run, "doc_id long, words binary, " + ", ".join(f"w{k} long" for k in range(WORDS)))
-
-
-def close_pairs(fp: np.ndarray, more: np.ndarray, node: np.ndarray, radius: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of distinct nodes within the radius over two words; where there are over four for each node, stars with their components, and True."""
-    order = np.argsort(node)
-    fp, more, node = fp[order], more[order], node[order]
-    n, dense = len(fp), False
-    kept = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    step = max(1, (1 << 20) // max(n, 1))
-    for at in range(0, n, step):
-        d = np.bitwise_count(fp[at : at + step, None] ^ fp[None, :]) + np.bitwise_count(more[at : at + step, None] ^ more[None, :])
-        x, y = np.nonzero(d <= radius)
-        x = x + at
-        up = x < y
-        kept = tuple(np.concatenate(p) for p in zip(kept, (x[up], y[up]), strict=True))
-        if len(kept[0]) > 4 * n:
-            kept, dense = merged(n, [kept]), True
-    if dense:
-        kept = merged(n, [kept])
-    a, b = node[kept[0]], node[kept[1]]
-    return list(zip(a.tolist(), b.tolist(), strict=True)), dense
-
-
-def near_pairs(nodes: DataFrame, loose: int, block: int, parts: int) -> DataFrame:
-    """a, b, dense: pairs of nodes (node, w0 ..) that meet in a cell of some word and are within `loose` bits of it and the next one; of dense cells stars that join the same nodes."""
-    rows = None
-    for w in range(WORDS):
-        word = nodes.select(F.col(f"w{w}").alias("fp"), F.col(f"w{(w + 1) % WORDS}").alias("more"), "node")
-        for k, (group, t) in enumerate(plan(word, parts - 1, (parts,))):
-            one = word.select(F.lit(w * BITS + k).alias("part"), project(F.col("fp"), group).alias("key"), "fp", "more", "node")
-            if t > 0:
-                masks = F.explode(F.array(F.lit(0).cast("long"), *[F.lit(m) for m in flips(group, t)]))
-                one = one.withColumn("flip", masks).withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
-            rows = one if rows is None else rows.unionAll(one)
-    sizes = rows.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
-    cells = rows.join(sizes, ["part", "key"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))
-    cells = cells.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    span = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("mine"), o).alias("low"), F.greatest(F.col("mine"), o).alias("high")))
-    cells = cells.select("part", "key", "fp", "more", "node", F.explode(span).alias("cell"))
-    packed = cells.groupBy("part", "key", "cell").agg(F.collect_list(F.struct("fp", "more", "node")).alias("rows"))
+            for n, c in zip((names["words"], names["bag"], *(names[w] for w in NAMES)), (pa.array(same, pa.binary()), pa.array(bags, pa.binary()), *(pa.array(bits[:, k].copy()) for k in range(WORDS))), strict=True):
+                b = b.append_column(n, c)
+            yield b
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: set[tuple[int, int, bool]] = set()
-            lists = b.column(0)
-            at, (f, m, v) = lists.offsets.to_numpy(), (x.to_numpy(zero_copy_only=False) for x in lists.values.flatten())
-            f, m = f.view(np.uint64), m.view(np.uint64)
-            for i in range(b.num_rows):
-                own = slice(at[i], at[i + 1])
-                found, dense = close_pairs(f[own], m[own], v[own], loose)
-                out.update((x, y, dense) for x, y in found)
-            x = np.array(sorted(out), np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2] == 1)], names=["a", "b", "dense"])
+    fields = [T.StructField(f.name, f.dataType) for f in docs.schema.fields]
+    more = [T.StructField(names["words"], T.BinaryType()), T.StructField(names["bag"], T.BinaryType()), *(T.StructField(names[w], T.LongType()) for w in NAMES)]
+    return docs.mapInArrow(run, T.StructType([*fields, *more]))
 
-    return packed.select("rows").mapInArrow(run, "a long, b long, dense boolean").distinct()
 
+def sure_plan(nodes: DataFrame, threshold: float, sure: float, choices: tuple[int, ...] = (3, 4, 5, 6, 7, 8), probe_cost: float = 200.0) -> list[tuple[str, list[int], int]]:
+    """(word, bits, flips) of each probed partition, so that two sets at the threshold meet in one with a chance of at least `sure`.
 
-def alike(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """The pairs within `most` bits of the long fingerprint."""
-    words = F.array(*[f"w{k}" for k in range(WORDS)])
-    prints = nodes.select("node", words.alias("w"))
-    both = pairs.join(prints.select(F.col("node").alias("a"), F.col("w").alias("u")), "a").join(prints.select(F.col("node").alias("b"), F.col("w").alias("v")), "b")
-    apart = sum((F.bit_count(F.col("u")[k].bitwiseXOR(F.col("v")[k])) for k in range(WORDS)), F.lit(0))
-    return both.where(apart <= most).select("a", "b")
+    Sets of Jaccard similarity s have the cosine 2s / (1 + s), and a bit of their SimHashes differs with a chance of its angle over pi; a
+    tenth is added to that for small sets. Dynamic programming gives each partition its flips: the gain of a partition is
+    -log(chance to miss there), the sum of gains has to reach -log(1 - sure), the cost is what `within` says of pairs of unlike
+    documents, plus the probes. The number of partitions a word is the one of least total cost, so cells get narrower as the table grows.
+    """
+    n, both = bit_moments(nodes, NAMES)
+    apart = 1.1 * math.acos(2 * threshold / (1 + threshold)) / math.pi
+    grid, found = 240, []
+    aim = -math.log(1 - sure)
+    for m in choices:
+        flat = [(w, g) for w in range(WORDS) for g in group_bits(n, both[w], m)]
+        best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
+        for w, g in flat:
+            chance = within(n, both[w], g, 2)
+            meet = [sum(math.comb(len(g), j) * apart**j * (1 - apart) ** (len(g) - j) for j in range(t + 1)) for t in range(3)]
+            options = [(0, 0.0, -1)]
+            for t in range(3):
+                ball = sum(math.comb(len(g), j) for j in range(t + 1))
+                options.append((int(-math.log(1 - meet[t]) / aim * grid), n * n / 2 * chance[: t + 1].sum() + probe_cost * n * ball, t))
+            nxt: dict[int, tuple[float, tuple[int, ...]]] = {}
+            for gained, (cost, ts) in best.items():
+                for more, extra, t in options:
+                    k = min(grid, gained + more)
+                    if k not in nxt or cost + extra < nxt[k][0]:
+                        nxt[k] = (cost + extra, (*ts, t))
+            best = nxt
+        if grid in best:
+            found.append((best[grid][0], m, [(f"w{w}", g, t) for (w, g), t in zip(flat, best[grid][1], strict=True) if t >= 0]))
+    return min(found, key=lambda x: x[:2])[2]
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts' sets of word shingles have at least the Jaccard similarity."""
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
-    texts_of = ends.join(docs, "doc_id").groupBy("a", "b").agg(F.collect_list("text").alias("texts"))
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of a shares with each of b; sets are sorted arrays."""
+    if len(a) == len(b) == 1:
+        return np.array([[len(np.intersect1d(a[0], b[0], assume_unique=True))]])
+    x, y = np.concatenate(a), np.concatenate(b)
+    of = [np.repeat(np.arange(len(s)), [len(z) for z in s]) for s in (a, b)]
+    shared = np.intersect1d(x, y)
+    step = max(1, (1 << 22) // max(len(a), len(b)))
+    out = np.zeros((len(a), len(b)))
+    for at in range(0, len(shared), step):
+        part = shared[at : at + step]
+        sides = []
+        for s, v, rows in ((a, x, of[0]), (b, y, of[1])):
+            place = np.minimum(np.searchsorted(part, v), len(part) - 1)
+            ok = part[place] == v
+            held = np.zeros((len(s), len(part)), np.float32)
+            held[rows[ok], place[ok]] = 1
+            sides.append(held)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def alike(bags: list[np.ndarray], own: int, threshold: float, tile: int = 256, tile_size: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Stars with the components of all pairs of sets of Jaccard similarity `threshold` or more, one end being among the first `own`.
+
+    Sets are compared in tiles of like sizes; tiles too unlike in size, and those whose sets hang together already, are passed over.
+    """
+    n = len(bags)
+    size = np.array([len(b) for b in bags])
+    order = np.argsort(size, kind="stable")
+    fill = np.cumsum(size[order])
+    tiles, start = [], 0
+    for i in range(1, n + 1):
+        if i == n or i - start >= tile or fill[i] - (fill[start - 1] if start else 0) > tile_size:
+            tiles.append(order[start:i])
+            start = i
+    label = np.arange(n)
+    for i, one in enumerate(tiles):
+        for two in tiles[i:]:
+            if size[two[0]] * threshold > size[one[-1]] + 1e-9:
+                break
+            mine = (one[:, None] < own) | (two[None, :] < own)
+            if not mine.any() or (label[one] == label[one[0]]).all() and (label[two] == label[one[0]]).all():
+                continue
+            both = common([bags[k] for k in one], [bags[k] for k in two])
+            good = mine & (both >= threshold * (size[one][:, None] + size[two][None, :] - both) - 1e-9)
+            x, y = np.nonzero(good)
+            x, y = one[x], two[y]
+            joins = label[x] != label[y]
+            if joins.any():
+                stars_of = np.nonzero(label != np.arange(n))[0]
+                roots, members = merged(n, [(label[stars_of], stars_of), (x[joins], y[joins])])
+                label = np.arange(n)
+                label[members] = roots
+    members = np.nonzero(label != np.arange(n))[0]
+    return label[members], members
 
-    def bag(text: str | None) -> frozenset[bytes]:
-        words = (text or "").encode().translate(LOWER).split()
-        w = min(width, len(words))
-        return frozenset(b" ".join(words[i : i + w]) for i in range(len(words) - w + 1)) if words else frozenset([b""])
+
+def tested(cells: DataFrame, threshold: float) -> DataFrame:
+    """a, b: verified links with the components of all that hold in each cell (family, x, y). cells: also own, node, bag."""
+    packed = cells.groupBy("family", "x", "y").agg(F.collect_list(F.struct("node", "own", "bag")).alias("rows")).where(F.size("rows") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = []
-            for two in b.column(2).to_pylist():
-                x, y = bag(two[0]), bag(two[-1])
-                common = len(x & y)
-                good.append(common >= threshold * (len(x) + len(y) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            out: list[list[np.ndarray]] = [[], []]
+            at, (node, own, bag) = b.column(0).offsets.to_pylist(), b.column(0).values.flatten()
+            node, own = node.to_numpy(zero_copy_only=False), own.to_numpy(zero_copy_only=False)
+            for i in range(b.num_rows):
+                here = slice(at[i], at[i + 1])
+                order = np.argsort(~own[here], kind="stable")
+                ids = node[here][order]
+                bags = [np.frombuffer(bag[at[i] + int(k)].as_py(), "<u8") for k in order]
+                for col, x in zip(out, alike(bags, int(own[here].sum()), threshold), strict=True):
+                    col.append(ids[x])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) if x else pa.array([], pa.int64()) for x in out], names=["a", "b"])
 
-    return texts_of.mapInArrow(run, "a long, b long")
+    return packed.select("rows").mapInArrow(run, "a long, b long").where("a <> b")
 
 
-def untried(own: dict[str, np.ndarray], other: dict[str, np.ndarray], most: int, each: int) -> tuple[np.ndarray, ...]:
-    """(node, other, bits apart, the node's label): for each own node its `each` nearest of other labels that are within `most` bits and not tried.
+def verified(members: DataFrame, threshold: float, block_bytes: int, pivots: int) -> DataFrame:
+    """node, label: components of the verified links within families. members: family, node, bag.
 
-    A pair has been tried if it is not beyond (far, upto), the last tried (bits, node), of either of its nodes.
+    A family of up to `block_bytes` of sets is one cell. A larger one is cut into blocks. First each block is compared with itself and with the family's
+    `pivots`, which is linear and joins nearly all of a family of true copies. Then what isn't in the family's largest
+    component, the rest, is compared with every block: a link between two components has an end there.
     """
-    out: list[tuple[np.ndarray, ...]] = []
-    step = max(1, (1 << 19) // max(len(other["node"]), 1))
-    for at in range(0, len(own["node"]), step):
-        a = {k: v[at : at + step] for k, v in own.items()}
-        d = sum(np.bitwise_count(a[f"w{k}"].view(np.uint64)[:, None] ^ other[f"w{k}"].view(np.uint64)[None, :]).astype(np.int16) for k in range(WORDS))
-        x, y = np.nonzero((d <= most) & (a["label"][:, None] != other["label"][None, :]))
-        away, m, n = d[x, y].astype(np.int64), a["node"][x], other["node"][y]
-        ok = (away > a["far"][x]) | ((away == a["far"][x]) & (n > a["upto"][x]))
-        ok &= (away > other["far"][y]) | ((away == other["far"][y]) & (m > other["upto"][y]))
-        x, away, m, n = x[ok], away[ok], m[ok], n[ok]
-        order = np.lexsort((n, away, x))
-        x, away, m, n = x[order], away[order], m[order], n[order]
-        near = np.arange(len(x)) - np.searchsorted(x, x) < each
-        out.append((m[near], n[near], away[near], a["label"][x[near]]))
-    return tuple(np.concatenate(p) for p in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
-
-
-def settled(families: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, most: int, block: int, width: int, threshold: float) -> DataFrame:
-    """labels (node, label) joined further by all verified links within families (node, family).
-
-    In each round every node proposes its nearest pairs with nodes of other labels that have not been tried, and every label tries the
-    nearest of these on the texts. What holds joins labels, what fails is behind its node's mark. Rounds grow and end
-    when no pair within `most` bits joins two labels untried; so every such pair has been tested, or its ends are joined without it.
-    """
-    texts_of = stored(docs.join(families.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"))
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
-    mine = families.join(sizes, "family").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    span = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("mine"), o).alias("low"), F.greatest(F.col("mine"), o).alias("high")))
-    members = cut(mine.select("family", "mine", "node", F.explode(span).alias("cell")))
-    words = [f"w{k}" for k in range(WORDS)]
-    marks = cut(families.join(nodes, "node").select("node", *words, F.lit(-1).cast("long").alias("far"), F.lit(-1).cast("long").alias("upto")))
-    fields = ["node", "label", "far", "upto", *words]
-    live, each, tries = members, 1, 4
-    while True:
-        known = marks.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        side = F.col("mine") == F.col("cell.low")
-        whole = live.join(known, "node").groupBy("family", "cell").agg(
-            F.collect_list(F.when(side, F.struct(*fields))).alias("own"), F.collect_list(F.when(~side, F.struct(*fields))).alias("other")
-        )
-
-        def run(batches: Iterator[pa.RecordBatch], each: int = each) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                lists = [(c.offsets.to_numpy(), dict(zip(fields, (v.to_numpy(zero_copy_only=False) for v in c.values.flatten()), strict=True))) for c in (b.column(1), b.column(2))]
-                for i in range(b.num_rows):
-                    own, other = ({k: v[at[i] : at[i + 1]] for k, v in cols.items()} for at, cols in lists)
-                    within = not len(other["node"])
-                    ways = [(own, own)] if within else [(own, other), (other, own)]
-                    for x, y in ways:
-                        m, n, away, label = untried(x, y, most, each)
-                        family = pa.array(np.full(len(m), b.column(0)[i].as_py(), np.int64))
-                        yield pa.RecordBatch.from_arrays([family, *map(pa.array, (m, n, away, label))], names=["family", "node", "other", "away", "label"])
-
-        found = whole.select("family", "own", "other").mapInArrow(run, "family long, node long, other long, away long, label long")
-        mark = Window.partitionBy("node").orderBy("away", "other")
-        found = found.withColumn("r", F.row_number().over(mark)).where(F.col("r") <= each).drop("r")
-        turn = Window.partitionBy("label").orderBy("away", "node", "other")
-        found = found.withColumn("r", F.row_number().over(turn)).where(F.col("r") <= tries)
-        found = cut(found.select("family", "node", "other", "away"))
-        if not found.limit(1).count():
-            return labels
-        pairs = found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        good = cut(verified(pairs, texts_of, width, threshold))
-        labels = components(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(good))
-        last = found.groupBy("node").agg(F.max(F.struct("away", "other")).alias("last"))
-        marks = cut(marks.join(last, "node", "left").select("node", *words, F.coalesce("last.away", "far").alias("far"), F.coalesce("last.other", "upto").alias("upto")))
-        live = members.join(cut(found.select("family").distinct()), "family", "left_semi")
-        each, tries = 8 * each, 64 * tries
-
-
-def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, loose: int = 36, most: int = 60, parts: int = 6, block: int = 1024, seed: int = 42) -> DataFrame:
-    """doc_id, component_id: documents (distinct non-null ids) linked by shingle similarity of `threshold` or more.
-
-    Copies (equal lower-cased words) are one node. Candidates meet in a cell of one of four 64-bit SimHash words,
-    each with its own partitions and thresholds, and are within `loose` bits of it and the next word. Of these, pairs within `most` of
-    all 256 bits are verified on the texts. A cell with more than four such pairs for each of its documents sends on only which
-    documents hang together; in each family that these make up, all pairs within `most` bits are candidates, tried nearest
-    first until none is left that would join two groups. Fingerprints are of distinct shingles, as is the similarity. Two
-    documents at the threshold differ in about 19 of 128 and 39 of 256 bits (deviations 4 and 6) and meet with a chance
-    of 0.99; closer ones hardly ever miss.
+    size = F.octet_length("bag")
+    big = stored(members.groupBy("family").agg(F.ceil(F.sum(size) / block_bytes).cast("int").alias("blocks"), F.count("*").alias("n")).where("blocks > 1"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    cells = members.join(big.select("family", "blocks"), "family", "left").select("family", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("x"), F.lit(-1).alias("y"), F.lit(True).alias("own"), "node", "bag")
+    several = not big.isEmpty()
+    if several:
+        order = Window.partitionBy("family").orderBy(F.xxhash64("node"), "node")
+        few = members.select("family", "node").join(big.select("family"), "family", "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
+        few = members.join(few.select("node"), "node").join(big, "family").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = cells.unionAll(few.select("family", "x", F.lit(-1), F.lit(False), "node", "bag"))
+    found = stored(tested(cells, threshold))
+    labels = components(found)
+    if several:
+        held = members.join(big, "family").select("family", "node", "blocks", "bag").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        held = stored(held)
+        counts = held.groupBy("family", "label").agg(F.count("*").alias("c"))
+        main = counts.groupBy("family").agg(F.max(F.struct("c", F.col("label").alias("main"))).alias("m")).select("family", "m.main")
+        rest = stored(held.join(main, "family").where("label <> main").select("family", "node", "blocks", "bag"))
+        many = stored(rest.groupBy("family").agg(F.ceil(F.sum(size) / block_bytes).cast("int").alias("rests")))
+        if not many.isEmpty():
+            mine = rest.join(many, "family").withColumn("y", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rests")).cast("int"))
+            mine = mine.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            theirs = held.join(many, "family").withColumn("x", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            theirs = theirs.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
+            cells = mine.select("family", "x", "y", F.lit(True).alias("own"), "node", "bag").unionAll(theirs.select("family", "x", "y", F.lit(False), "node", "bag"))
+            more = stored(found.unionAll(tested(cells, threshold)))
+            labels, old = components(more), labels
+            discard(more)
+        discard(held, rest, many)
+    discard(found, big)
+    return labels
+
+
+def components_of(rows: DataFrame, names: dict[str, str], threshold: float, radius: int, sure: float, block: int, block_bytes: int, pivots: int) -> DataFrame:
+    """node, words, label of every distinct text of signed rows (with uid); node is the uid of its row of smallest id, label that of its component."""
+    first = F.min(F.struct("doc_id", names["uid"]))
+    nodes = stored(rows.groupBy(F.col(names["words"]).alias("words")).agg(first.alias("f"), *(F.first(names[w]).alias(w) for w in NAMES)).select("words", F.col("f.doc_id").alias("doc_id"), F.col(f"f.{names['uid']}").alias("node"), *NAMES))
+    prints = nodes.select("node", *NAMES)
+    near = stored(cell_links(dealt(prints, NAMES, sure_plan(prints, threshold, sure)), NAMES, radius, block))
+    families = components(near).withColumnRenamed("label", "family")
+    bags = rows.select(F.col(names["uid"]).alias("node"), F.col(names["bag"]).alias("bag"))
+    members = stored(families.join(bags, "node"))
+    labels = verified(members, threshold, block_bytes, pivots)
+    out = stored(nodes.join(labels, "node", "left").select("words", "doc_id", "node", F.coalesce("label", "node").alias("label")))
+    discard(nodes, near, members, labels)
+    return out
+
+
+OPTIONS = {"radius": 64, "sure": 0.995, "block": 8192, "block_bytes": 12 << 20, "pivots": 8}
+
+
+def signed(docs: DataFrame, width: int, seed: int) -> tuple[DataFrame, dict[str, str]]:
+    """Rows that have an id, with their signatures, stored; and the names of the added columns, none of which docs has."""
+    names = {x: unused(docs, f"_{x}") for x in ("uid", "words", "bag", *NAMES)}
+    rows = docs.where("doc_id is not null").withColumn(names["uid"], F.monotonically_increasing_id())
+    return stored(signed_rows(rows, "text", names, width, seed)), names
+
+
+def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, seed: int = 42, **options) -> DataFrame:
+    """doc_id, component_id for every row that has an id: documents linked by shingle similarity of `threshold` or more.
+
+    Copies (equal lower-cased words) are one node. Candidates meet in a cell of one of four 64-bit SimHash words, whose partitions and
+    flips are chosen so that two documents at the threshold meet with a chance of `sure`, and are within `radius` of all 256
+    bits (at the threshold they differ in about 39, deviation 6). Whatever hangs together by such pairs is a family; within a family
+    all pairs are verified on their sets of shingles, so a link that no cell sent on is tested as well. Rows of one id are told
+    apart by their text. component_id is the smallest id of the group.
     """
-    rows = only_id_text(docs).where("doc_id is not null")
-    one = cut(signatures(rows, width, seed))
-    nodes = cut(one.groupBy("words").agg(F.min("doc_id").alias("node"), *(F.first(f"w{k}").alias(f"w{k}") for k in range(WORDS))))
-    near = cut(near_pairs(nodes, loose, block, parts))
-    pairs = alike(near.where("not dense").select("a", "b"), nodes, most)
-    labels = components(cut(verified(pairs, rows, width, threshold)))
-    dense = near.where("dense").select("a", "b")
-    if dense.limit(1).count():
-        families = components(dense).withColumnRenamed("label", "family")
-        labels = settled(families, labels, nodes, rows, most, block, width, threshold)
-    named = nodes.select("words", "node").join(labels, "node", "left").select("words", F.coalesce("label", "node").alias("component_id"))
-    return one.select("doc_id", "words").join(named, "words").select("doc_id", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each similar group, that of the smallest id; rows that have no id stay, an id stays once."""
-    found = similar_groups(docs, **options)
-    keep = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id")).where("doc_id = component_id").select("doc_id")
-    kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    rows, names = signed(only_id_text(docs), width, seed)
+    found = components_of(rows, names, threshold, **OPTIONS | options)
+    ids = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = looked_up(found, ids, "label").select(F.col("words").alias(names["words"]), "component_id")
+    return looked_up(rows.select("doc_id", names["words"]), named, names["words"]).select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, seed: int = 42, **options) -> DataFrame:
+    """One row of each similar group, that of the smallest id (of the smallest place in docs among rows of one id); rows that have no id stay."""
+    rows, names = signed(docs, width, seed)
+    plain = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    found = components_of(plain, names, threshold, **OPTIONS | options)
+    keep = found.groupBy("label").agg(F.min(F.struct("doc_id", F.col("node").alias("uid"))).alias("k")).select(F.col("k.uid").alias(names["uid"]))
+    kept = rows.join(keep, names["uid"], "left_semi")
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
