@@ -360,27 +360,51 @@ def long_fingerprint(h: np.ndarray) -> np.ndarray:
     return majority(h.astype("<u8"))
 
 
-def signed_rows(docs: DataFrame, text_col: str, names: dict[str, str], width: int, seed: int) -> DataFrame:
-    """docs with MD5 of the lower-cased words (copies share it), the set of shingles (sorted XXH64) and the long fingerprint."""
+def shingle_set(words: list[bytes], width: int, seed: int) -> np.ndarray:
+    return np.unique(shingle_hashes(words, width, seed)) if words else np.zeros(0, "<u8")
+
+
+def wording(words: list[bytes]) -> bytes:
+    """MD5 of the lower-cased words: copies share it."""
+    return hashlib.md5(b" ".join(words)).digest()
+
+
+def signatures(docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """doc_id, words (their MD5) and the long fingerprint w0 .. w3."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, name=text_col):
-            fp, same, bags = np.zeros((b.num_rows, WORDS), np.uint64), [], []
-            for i, t in enumerate(texts(b, text_col)):
+        for b in slices(batches):
+            fp, same = np.zeros((b.num_rows, WORDS), np.uint64), []
+            for i, t in enumerate(texts(b)):
                 words = t.translate(LOWER).split()
-                bag = np.unique(shingle_hashes(words, width, seed)) if words else np.zeros(0, "<u8")
                 if words:
-                    fp[i] = long_fingerprint(bag)
-                same.append(hashlib.md5(b" ".join(words)).digest())
-                bags.append(bag.tobytes())
+                    fp[i] = long_fingerprint(shingle_set(words, width, seed))
+                same.append(wording(words))
             bits = fp.view(np.int64)
-            for n, c in zip((names["words"], names["bag"], *(names[w] for w in NAMES)), (pa.array(same, pa.binary()), pa.array(bags, pa.binary()), *(pa.array(bits[:, k].copy()) for k in range(WORDS))), strict=True):
-                b = b.append_column(n, c)
-            yield b
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), *(pa.array(bits[:, k].copy()) for k in range(WORDS))], names=["doc_id", "words", *NAMES])
+
+    return docs.mapInArrow(run, "doc_id long, words binary, " + ", ".join(f"{w} long" for w in NAMES))
+
+
+def with_wording(docs: DataFrame, name: str) -> DataFrame:
+    """docs and the MD5 of each text's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield b.append_column(name, pa.array([wording(t.translate(LOWER).split()) for t in texts(b)], pa.binary()))
 
-    fields = [T.StructField(f.name, f.dataType) for f in docs.schema.fields]
-    more = [T.StructField(names["words"], T.BinaryType()), T.StructField(names["bag"], T.BinaryType()), *(T.StructField(names[w], T.LongType()) for w in NAMES)]
-    return docs.mapInArrow(run, T.StructType([*fields, *more]))
+    return docs.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema.fields), T.StructField(name, T.BinaryType())]))
+
+
+def shingle_sets(rows: DataFrame, width: int, seed: int) -> DataFrame:
+    """family, node, bag (sorted XXH64 of the distinct shingles, packed) of rows (family, node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            bags = [shingle_set(t.translate(LOWER).split(), width, seed).tobytes() for t in texts(b)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bags, pa.binary())], names=["family", "node", "bag"])
+
+    return rows.select("family", "node", "text").mapInArrow(run, "family long, node long, bag binary")
 
 
 def sure_plan(nodes: DataFrame, threshold: float, sure: float, choices: tuple[int, ...] = (3, 4, 5, 6, 7, 8), probe_cost: float = 200.0) -> list[tuple[str, list[int], int]]:
@@ -536,31 +560,26 @@ def verified(members: DataFrame, threshold: float, block_bytes: int, pivots: int
     return labels
 
 
-def components_of(rows: DataFrame, names: dict[str, str], threshold: float, radius: int, sure: float, block: int, block_bytes: int, pivots: int) -> DataFrame:
-    """node, words, label of every distinct text of signed rows (with uid); node is the uid of its row of smallest id, label that of its component."""
-    first = F.min(F.struct("doc_id", names["uid"]))
-    nodes = stored(rows.groupBy(F.col(names["words"]).alias("words")).agg(first.alias("f"), *(F.first(names[w]).alias(w) for w in NAMES)).select("words", F.col("f.doc_id").alias("doc_id"), F.col(f"f.{names['uid']}").alias("node"), *NAMES))
+def grouped(docs: DataFrame, width: int, threshold: float, seed: int, radius: int, sure: float, block: int, block_bytes: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """Of docs (doc_id, text): doc_id and words of every row; words, doc_id (the smallest of it) and label (of its component) of every distinct text."""
+    rows = stored(signatures(docs, width, seed))
+    nodes = rows.groupBy("words").agg(F.min("doc_id").alias("doc_id"), *(F.first(w).alias(w) for w in NAMES))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
     prints = nodes.select("node", *NAMES)
     near = stored(cell_links(dealt(prints, NAMES, sure_plan(prints, threshold, sure)), NAMES, radius, block))
     families = components(near).withColumnRenamed("label", "family")
-    bags = rows.select(F.col(names["uid"]).alias("node"), F.col(names["bag"]).alias("bag"))
-    members = stored(families.join(bags, "node"))
+    wanted = nodes.join(families, "node").select("doc_id", "words", "node", "family").hint("merge")
+    sought = with_wording(docs, "words").dropDuplicates(["doc_id", "words"])
+    members = stored(shingle_sets(sought.join(wanted, ["doc_id", "words"]), width, seed))
     labels = verified(members, threshold, block_bytes, pivots)
-    out = stored(nodes.join(labels, "node", "left").select("words", "doc_id", "node", F.coalesce("label", "node").alias("label")))
-    discard(nodes, near, members, labels)
-    return out
+    out = stored(nodes.join(labels, "node", "left").select("words", "doc_id", F.coalesce("label", "node").alias("label")))
+    discard(nodes, near, members)
+    return rows.select("doc_id", "words"), out
 
 
 OPTIONS = {"radius": 64, "sure": 0.995, "block": 8192, "block_bytes": 12 << 20, "pivots": 8}
 
 
-def signed(docs: DataFrame, width: int, seed: int) -> tuple[DataFrame, dict[str, str]]:
-    """Rows that have an id, with their signatures, stored; and the names of the added columns, none of which docs has."""
-    names = {x: unused(docs, f"_{x}") for x in ("uid", "words", "bag", *NAMES)}
-    rows = docs.where("doc_id is not null").withColumn(names["uid"], F.monotonically_increasing_id())
-    return stored(signed_rows(rows, "text", names, width, seed)), names
-
-
 def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, seed: int = 42, **options) -> DataFrame:
     """doc_id, component_id for every row that has an id: documents linked by shingle similarity of `threshold` or more.
 
@@ -568,20 +587,24 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, seed
     flips are chosen so that two documents at the threshold meet with a chance of `sure`, and are within `radius` of all 256
     bits (at the threshold they differ in about 39, deviation 6). Whatever hangs together by such pairs is a family; within a family
     all pairs are verified on their sets of shingles, so a link that no cell sent on is tested as well. Rows of one id are told
-    apart by their text. component_id is the smallest id of the group.
+    apart by their words. component_id is the smallest id of the group.
     """
-    rows, names = signed(only_id_text(docs), width, seed)
-    found = components_of(rows, names, threshold, **OPTIONS | options)
+    rows, found = grouped(only_id_text(docs).where("doc_id is not null"), width, threshold, seed, **OPTIONS | options)
     ids = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = looked_up(found, ids, "label").select(F.col("words").alias(names["words"]), "component_id")
-    return looked_up(rows.select("doc_id", names["words"]), named, names["words"]).select("doc_id", "component_id")
+    named = looked_up(found, ids, "label").select("words", "component_id")
+    return looked_up(rows, named, "words").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, seed: int = 42, **options) -> DataFrame:
-    """One row of each similar group, that of the smallest id (of the smallest place in docs among rows of one id); rows that have no id stay."""
-    rows, names = signed(docs, width, seed)
-    plain = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = components_of(plain, names, threshold, **OPTIONS | options)
-    keep = found.groupBy("label").agg(F.min(F.struct("doc_id", F.col("node").alias("uid"))).alias("k")).select(F.col("k.uid").alias(names["uid"]))
-    kept = rows.join(keep, names["uid"], "left_semi")
+    """One row of each similar group, that of the smallest id; rows that have no id stay.
+
+    Of rows with the same id and the same words one stays.
+    """
+    _, found = grouped(only_id_text(docs).where("doc_id is not null"), width, threshold, seed, **OPTIONS | options)
+    words, key, turn = (unused(docs, x) for x in ("_words", "_key", "_turn"))
+    keep = found.groupBy("label").agg(F.min(F.struct("doc_id", "words")).alias("k")).select(F.col("k.doc_id").alias(key), F.col("k.words").alias(words))
+    rows = with_wording(docs.where("doc_id is not null"), words).withColumn(key, F.col("doc_id").cast("long"))
+    order = Window.partitionBy(key, words).orderBy(F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType)))))
+    rows = rows.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1)
+    kept = rows.join(keep.hint("merge"), [key, words], "left_semi")
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
