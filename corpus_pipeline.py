@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm._common import stored, table
+from weft.llm._common import discard, stored, table
 from weft.llm.decontaminate import drop_leaks
 from weft.llm.packing import pack
 from weft.llm.pii import mask
@@ -46,5 +46,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        kept = stored(stage(spark, docs, sf_dir))
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
