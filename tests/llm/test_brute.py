@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from weft.llm import decontaminate, licenses, neighbours, packing, passages, pii, queries, quality, sharding, simhash
+from weft.llm import decontaminate, licenses, lm, neighbours, packing, passages, pii, queries, quality, sharding, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -113,6 +113,36 @@ def test_language_model(spark, documents):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_chances_sum_to_one(spark):
+    """P(w | v) over all words of a small corpus and the unknown one, and the same scores when the filter stays in its segments."""
+    r = random.Random(8)
+    names = [f"t{i}" for i in range(50)]
+    texts = [" ".join(r.choices(names, weights=range(1, 51), k=r.randint(1, 60))) for _ in range(400)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    probe = [f"{v} {w}" for v in [*names[:6], *names[44:]] for w in [*names, "unknown"]]
+    asked = frame.unionAll(spark.createDataFrame([(None, p) for p in [*probe, *names[:6], *names[44:]]], frame.schema))
+    exact = {"bits_each": 40, "probes": 24, "mu": 24.0}
+    texts_of = {i: t for i, t in enumerate(texts)}
+    c2, c1 = collections.Counter(), collections.Counter()
+    for i, t in texts_of.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            ws = [*t.split(), "\n"]
+            c1.update(ws)
+            c2.update(zip(["\n", *ws], ws, strict=False))
+    for head in (4 << 20, 30):
+        one, other = (sorted((r["n_tokens"], r["score"]) for r in lm.score(asked, head=head, base=1.02, **way, **exact).collect()) for way in ({}, {"max_bytes": 0, "segment_bytes": 4096}))
+        assert np.array(one) == pytest.approx(np.array(other))
+    n, v = c1.total(), len(c1)
+    alone = {w: (c1[w] + 0.1) / (n + 0.1 * (v + 1)) for w in [*names, "unknown", "\n"]}
+    chance = lambda x, w: (c2[x, w] + 24 * alone[w]) / (c1[x] + 24)
+    total = lm.score(spark.createDataFrame([(None, p) for p in probe], frame.schema).unionAll(frame), base=1.02, **exact).where("doc_id is null")
+    got = sorted(r["score"] for r in total.collect())
+    want = sorted(sum(math.log10(chance(x, w)) for x, w in zip(["\n", *p.split()], [*p.split(), "\n"], strict=True)) for p in probe)
+    assert got == pytest.approx(want, rel=0.01)
+    for x in [*names[:6], *names[44:]]:
+        assert sum(chance(x, w) for w in [*names, "unknown", "\n"]) == pytest.approx(1)
+
+
 def test_licenses(spark, documents):
     rows = {r["doc_id"]: r for r in run(spark, "op4_license_join")}
     sets = [(label, set(licenses.words_of(t))) for label, t in licenses.TEMPLATES]

@@ -5,10 +5,11 @@ the forward-backward pass, weighted by line length, average to the document's qu
 curve fitted on the same training documents makes the average a probability.
 
 Training: labels only of documents whose crc32(id as text) mod 4 is not 2, at most `max_train` of each class
-(those of smallest hash, so the choice is the same at every run) and at most `max_lines` lines of each. Lines
-start with their document's label; one round then relabels lines of bad documents that the first model
-holds to be good, since a bad document can have good lines. Labels, language, source and id feed no feature.
-Scoring reads every line of every document.
+(those of smallest hash, so the choice is the same at every run). The chain learns from one run of at most `max_lines`
+neighbouring lines of each, which begins at a place that the document's hash picks from the whole text; the logistic curve is fitted on
+the averages of whole texts, as they are scored. Lines start with their document's label; one round then relabels lines of bad documents
+that the first model holds to be good, since a bad document can have good lines. Labels, language, source and id feed no feature.
+Scoring reads every line of every document. Of rows that repeat a training id the smallest text counts.
 
 Defined cases: a null or empty text is one empty line; a document without lines that carry letters still
 gets a score; lines of any length are features of their bytes, computed without a copy per line; null and
@@ -18,6 +19,7 @@ usable label of either class the score is 0.5; further columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from operator import eq
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import cut, only_id_text, slices, texts, train_side
+from ._common import discard, only_id_text, slices, stored, texts, train_side
 
 # Classes of bytes: lower, upper, digit, blank, full stop and comma, mark, other ASCII, beyond ASCII.
 CLASS = np.full(256, 7, np.uint8)
@@ -133,7 +135,7 @@ def marginals(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, mask: np.ndarray, steps: int = 150, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_chain(x: np.ndarray, y: np.ndarray, mask: np.ndarray, steps: int = 80, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transitions of greatest likelihood. x: documents x lines x features, y and mask: documents x lines."""
     docs, lines, _ = x.shape
     w, t = np.zeros(x.shape[2]), np.zeros((2, 2))
@@ -206,37 +208,36 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(a * logit(np.array(self.raw(text))) + b, -40, 40))))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 1500, max_lines: int = 40) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 1000, max_lines: int = 32) -> Model:
     """Fit on a bounded sample of the labelled documents outside the held-out quarter."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     known = known.where(F.col("y").isin(0, 1) & ~train_side("doc_id", 4, 2)).groupBy("doc_id").agg(F.max("y").alias("y"))
-    known = cut(known)
+    known = stored(known)
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(F.lit(9), "doc_id")
     chosen = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(max_train) for y in (0, 1)]
     chosen = chosen[0].unionAll(chosen[1])
-    rows = only_id_text(docs).join(F.broadcast(chosen), "doc_id")  # at most 2 max_train rows
+    rows = only_id_text(docs).join(F.broadcast(chosen), "doc_id")  # at most 2 max_train ids
+    rows = stored(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            x, size = [], []
-            for t in texts(b):
-                f, s = line_features(t)
-                x.append(f[:max_lines].astype("<f4").tobytes())
-                size.append(s[:max_lines].astype("<i8").tobytes())
-            y = b.column(b.schema.get_field_index("y"))
-            yield pa.RecordBatch.from_arrays([b.column(0), y, pa.array(x, pa.binary()), pa.array(size, pa.binary())], names=["doc_id", "y", "x", "size"])
-
-    got = rows.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, x binary, size binary").dropDuplicates(["doc_id"]).collect()
+            x = []
+            for doc_id, t in zip(b.column(0).to_pylist(), texts(b), strict=True):
+                f = line_features(t)[0]
+                start = zlib.crc32(str(doc_id).encode()) % max(1, len(f) - max_lines + 1)
+                x.append(f[start : start + max_lines].astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.binary())], names=["doc_id", "y", "x"])
+
+    got = rows.mapInArrow(run, "doc_id long, y int, x binary").collect()
     got.sort(key=lambda r: r["doc_id"])
     if len({r["y"] for r in got}) < 2:
         return Model()
     x = np.zeros((len(got), max_lines, len(NAMES)))
-    y, mask, size = (np.zeros((len(got), max_lines)) for _ in range(3))
+    y, mask = (np.zeros((len(got), max_lines)) for _ in range(2))
     for i, r in enumerate(got):
         f = np.frombuffer(r["x"], "<f4").reshape(-1, len(NAMES))
         x[i, : len(f)], y[i, : len(f)], mask[i, : len(f)] = f, r["y"], 1
-        size[i, : len(f)] = np.frombuffer(r["size"], "<i8")
     label = np.array([r["y"] for r in got])
 
     def held() -> np.ndarray:
@@ -251,10 +252,17 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 1500, max_lines:
     worst = post == np.where(mask > 0, post, 2).min(1, keepdims=True)
     y = np.where((label[:, None] == 0) & (post > 0.5) & ~worst, 1.0, y)
     w, t = fit_chain(x, y, mask)
-    raw = (held() * size).sum(1) / size.sum(1)
+    chain = Model(w, t)
+
+    def averages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([chain.raw(v) for v in texts(b)], pa.float64())], names=["doc_id", "raw"])
+
+    raw = {r["doc_id"]: r["raw"] for r in rows.select("doc_id", "text").mapInArrow(averages, "doc_id long, raw double").collect()}
+    discard(rows, known)
     # in the curve each class weighs what it does among all labels learnt from
     weight = np.array([shares[k] / (label == k).sum() for k in (0, 1)])[label]
-    return Model(w, t, fit_curve(logit(raw), label.astype(float), weight))
+    return Model(w, t, fit_curve(logit(np.array([raw[r["doc_id"]] for r in got])), label.astype(float), weight))
 
 
 def score(docs: DataFrame, model: Model, cut_at: float = 0.7, keep: bool = False) -> DataFrame:
