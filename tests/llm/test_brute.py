@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import time
 import zlib
 
@@ -145,7 +146,7 @@ def test_chances_sum_to_one(spark):
 
 def test_licenses(spark, documents):
     rows = {r["doc_id"]: r for r in run(spark, "op4_license_join")}
-    sets = [(label, set(licenses.words_of(t))) for label, t in licenses.TEMPLATES]
+    sets = [(len(ws := licenses.words_of(t)), set(ws)) for _, t in licenses.TEMPLATES]
     for i, text in documents:
         words = re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text))
         places = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
@@ -153,11 +154,28 @@ def test_licenses(spark, documents):
         assert (r["n_words"], r["n_base"]) == (len(words), len(places))
         assert (r["first_word"], r["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
         assert r["base_labels"] == ",".join(sorted({x for _, x in places}))
-        want = set()
-        for n, line in enumerate(text.split(b"\n")):
-            own = set(re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(line)))
-            want |= {f"{n}:{label}:{len(s & own) / len(s):.3f}" for label, s in sets if len(s & own) >= 0.8 * len(s) - 1e-9}
-        assert {x for x in r["blocks"].split(",") if x} == want
+        want = [f"{n}:{k}:{len(s & set(words[n : n + size])) / len(s):.3f}" for n, w in enumerate(words) for k, (size, s) in enumerate(sets) if w in s and len(s & set(words[n : n + size])) >= 0.8 * len(s) - 1e-9]
+        assert r["blocks"] == ",".join(want)
+
+
+def test_wrapped_notices(spark):
+    notice = {label: t for label, t in licenses.TEMPLATES}
+    wrap = lambda t: "\n".join(" * " + x for x in textwrap.wrap(t, 40))
+    rows = [(i, f"int x;\n/*\n{wrap(notice[k])}\n */\nmain()") for i, k in enumerate(("mit", "bsd", "gpl", "apache-2", "isc"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan(frame).collect()} == {0: "mit", 1: "bsd", 2: "gpl", 3: "apache-2", 4: "isc"}
+    own = spark.createDataFrame([("zlib", "this software is provided as is")], "label string, text string")
+    again = licenses.scan(spark.createDataFrame([(0, "under the MIT License: this software\nis provided as-is")], frame.schema), own).first()
+    assert (again["labels"], again["base_labels"], again["n_base"]) == ("mit,zlib", "mit", 1)
+
+
+def test_licenses_in_linear_time():
+    start = time.monotonic()
+    words = licenses.words_of("cc by nc 4.0 licensed under ") * 200_000
+    index = licenses.Index(licenses.TEMPLATES, collections.Counter(w for _, t in licenses.TEMPLATES for w in licenses.words_of(t)), 0.8)
+    assert len(licenses.positions(words)) == 200_000
+    assert index.unbeaten(index.matches(words, index.vocabulary.intersection(words))) == {"cc-by-nc"}
+    assert time.monotonic() - start < 60
 
 
 def plain_fingerprint(text: bytes) -> int:

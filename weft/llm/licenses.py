@@ -1,21 +1,24 @@
 """License scan by an exact set-similarity join (operator 4).
 
-Text blocks (the lines of each document) are joined with license templates: a block matches a template if it
-holds at least `threshold` of the template's distinct words. The join is exact. Template words are ordered
-by their document frequency over the whole corpus, rarest first; then
-
-- prefix filter: a matching block has one of the template's first |T| - need + 1 words, need = ceil(threshold |T|);
-- length filter: the block has at least `need` distinct words that occur in templates;
-- positional filter: what is left of template and block after the first common word can still reach `need`;
-- verification counts the common words.
-
-Templates are a fixed list in this module (their size does not depend on the data), so they travel with the
-task; documents are neither shuffled nor collected. A block takes the label of the template it holds most
-of (the larger template among equals). Three fixed phrases are reported besides, wherever their words stand
-consecutively, also across lines.
-
-Defined cases: a null or empty text has no words; words longer than any template word are words like any
-others; repeated rows and null ids give a row each; an empty table gives no rows; other columns are ignored.
+Text blocks are joined with license templates. A block is a run of as many words as the template has, wherever it
+begins with one of the template's words: a notice is found in whatever way its lines are wrapped, and what else stands in
+its line plays no part. A block matches if it holds at least `threshold` of the template's distinct words. The join is
+exact. Template words are ordered by their document frequency over the whole corpus, rarest first; then
+
+- prefix filter: a matching block has one of the template's first |T| - need + 1 words, need = ceil(threshold |T|), so only places
+  within a block's length of such a word are looked at;
+- length filter: the document has at least `need` distinct words of the template;
+- positional filter: with the first common word in the order at place i, at most |T| - i words can be common;
+- verification counts the distinct common words of every block left.
+
+Templates are a list or a table (label, text) of at most `max_bytes`, so they travel with the task; documents
+are neither shuffled nor collected. A match is beaten if it overlaps a match of another label that holds more of its
+template (of the larger template, then of the earlier one, among equals); labels are those of matches that are not beaten. Three fixed
+phrases are reported besides, wherever their words stand consecutively.
+
+Defined cases: a null or empty text has no words; a text shorter than a template is a shorter block; words longer than any
+template word are words like any others; templates without words match nothing; repeated rows and null ids give a row each; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +35,6 @@ from ._common import only_id_text, slices, texts
 
 # Words are runs of ASCII letters and digits and of everything beyond ASCII.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-# The same, but line ends stay.
-LINE_BYTES = WORD_BYTES[:10] + b"\n" + WORD_BYTES[11:]
 
 # Phrases of the base scan and their labels.
 PHRASES = {
@@ -56,6 +58,11 @@ TEMPLATES = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("all-rights-reserved", "All rights reserved"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("apache-2", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
 ]
 
 
@@ -84,36 +91,73 @@ class Index:
 
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float):
         order = sorted(frequency, key=lambda w: (frequency[w], w))
-        self.rank = {w: i for i, w in enumerate(order)}
-        self.sets, self.labels, self.need = [], [], []
-        self.prefix: dict[bytes, list[tuple[int, int]]] = {}
+        self.number = {w: i for i, w in enumerate(order)}  # a word's number is its place in the order
+        self.sets, self.labels, self.need, self.words = [], [], [], []
+        self.prefix: list[frozenset[bytes]] = []
         for label, text in templates:
-            own = sorted(set(words_of(text)), key=self.rank.__getitem__)
+            if not (own := sorted(set(words_of(text)), key=self.number.__getitem__)):
+                continue
             need = math.ceil(threshold * len(own) - 1e-9)
-            for i, w in enumerate(own[: len(own) - need + 1]):
-                self.prefix.setdefault(w, []).append((len(self.sets), i))
-            self.sets.append(frozenset(own))
+            self.sets.append(own)
+            self.prefix.append(frozenset(own[: len(own) - need + 1]))
             self.labels.append(label)
             self.need.append(need)
+            self.words.append(len(words_of(text)))
         self.vocabulary = frozenset(order)
-        self.starts = frozenset(self.prefix)
-
-    def matches(self, words: list[bytes]) -> list[tuple[int, float]]:
-        """(template, containment) of every template that the block holds enough of."""
-        block = sorted(self.vocabulary.intersection(words), key=self.rank.__getitem__)
-        found, tried = [], set()
-        for j, w in enumerate(block):
-            for k, i in self.prefix.get(w, ()):
-                if k in tried:
-                    continue
-                tried.add(k)  # the first common word in the order decides
-                size, need = len(self.sets[k]), self.need[k]
-                if len(block) < need or 1 + min(size - i - 1, len(block) - j - 1) < need:
-                    continue
-                common = len(self.sets[k].intersection(block))
-                if common >= need:
-                    found.append((k, common / size))
-        return sorted(found)
+        self.starts = frozenset().union(*self.prefix)
+
+    def matches(self, words: list[bytes], have: frozenset[bytes]) -> list[tuple[int, int, int]]:
+        """(start, template, common words) of every block that holds enough of a template, in order."""
+        get = self.number.get
+        ids = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        places = np.nonzero(ids >= 0)[0]
+        ids = ids[places]
+        out = []
+        for k, own in enumerate(self.sets):
+            if self.prefix[k].isdisjoint(have) or len(common := have.intersection(own)) < self.need[k]:
+                continue
+            length = self.words[k]
+            numbers = sorted(self.number[w] for w in common)
+            rare = places[np.isin(ids, [self.number[w] for w in self.prefix[k] & have])]
+            mine = np.isin(ids, numbers)
+            starts = places[mine]
+            # a block that counts holds a rare word at or behind its start
+            following = np.searchsorted(rare, starts)
+            near = following < len(rare)
+            near[near] = rare[following[near]] < starts[near] + length
+            starts = starts[near]
+            held = np.zeros(len(starts), np.int32)
+            for left, number in enumerate(numbers):
+                at = places[ids == number]
+                following = np.searchsorted(at, starts)
+                ok = following < len(at)
+                ok[ok] = at[following[ok]] < starts[ok] + length
+                held += ok
+                # blocks that even all words still to come don't bring far enough are done with
+                alive = held + (len(numbers) - left - 1) >= self.need[k]
+                starts, held = starts[alive], held[alive]
+            out += zip(starts.tolist(), [k] * len(starts), held.tolist(), strict=True)
+        return sorted(out)
+
+    def unbeaten(self, found: list[tuple[int, int, int]]) -> set[str]:
+        """Labels of the matches that no overlapping match of another label beats."""
+        groups: dict[tuple[float, int, int], list[int]] = {}
+        for start, k, held in found:
+            groups.setdefault((held / len(self.sets[k]), len(self.sets[k]), -k), []).append(start)
+        ranked = [(-key[2], np.array(groups[key])) for key in sorted(groups, reverse=True)]
+        labels = set()
+        for i, (k, starts) in enumerate(ranked):
+            free = np.ones(len(starts), bool)
+            for j, other in ranked[:i]:
+                if self.labels[j] != self.labels[k]:
+                    # the first start of the other that ends behind this one's start
+                    at = np.searchsorted(other, starts - self.words[j], "right")
+                    ok = at < len(other)
+                    ok[ok] = other[at[ok]] < starts[ok] + self.words[k]
+                    free &= ~ok
+            if free.any():
+                labels.add(self.labels[k])
+        return labels
 
 
 def positions(words: list[bytes]) -> list[tuple[int, str]]:
@@ -121,19 +165,33 @@ def positions(words: list[bytes]) -> list[tuple[int, str]]:
     joined = b" " + b" ".join(words) + b" "
     found = []
     for phrase, label in PHRASES.items():
-        sought, at = b" " + phrase + b" ", -1
+        sought, at, word, counted = b" " + phrase + b" ", -1, 0, 0
         while (at := joined.find(sought, at + 1)) >= 0:
-            found.append((joined.count(b" ", 0, at), label))
+            word += joined.count(b" ", counted, at)
+            counted = at
+            found.append((word, label))
     return sorted(found)
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> DataFrame:
+def listed(templates: DataFrame, max_bytes: int) -> list[tuple[str, str]]:
+    """The rows of a table of templates, which has to be small, in an order of their own."""
+    size = templates.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("label")), F.lit(0))).first()[0]
+    if size > max_bytes:
+        raise ValueError(f"the templates have {size} bytes, over the {max_bytes} that tasks take along")
+    return sorted((r["label"], r["text"]) for r in templates.where("label is not null and text is not null").select("label", "text").distinct().collect())
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] | DataFrame | None = None, threshold: float = 0.8, max_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the matched blocks.
 
-    blocks: line:label:containment of every match, comma-joined by line and template, lines from 0. score: 1 with a phrase, else
+    blocks: word:template:containment of every match, comma-joined by first word and template, both from 0. score: 1 with a phrase, else
     the largest containment, else 0.
     """
-    index = Index(templates or TEMPLATES, template_frequency(docs, templates or TEMPLATES), threshold)
+    if templates is None:
+        templates = TEMPLATES
+    elif isinstance(templates, DataFrame):
+        templates = listed(templates, max_bytes)
+    index = Index(templates, template_frequency(docs, templates), threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -141,20 +199,13 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
             for t in texts(b):
                 words = t.translate(WORD_BYTES).split()
                 have = index.vocabulary.intersection(words)
-                base = positions(words) if have else []
-                blocks, labels, best = [], {label for _, label in base}, 1.0 if base else 0.0
-                if not index.starts.isdisjoint(have):
-                    for n, line in enumerate(t.translate(LINE_BYTES).split(b"\n")):
-                        own = line.split()
-                        if index.starts.isdisjoint(own):
-                            continue
-                        found = index.matches(own)
-                        if found:
-                            top, score = max(found, key=lambda f: (f[1], len(index.sets[f[0]]), -f[0]))
-                            labels.add(index.labels[top])
-                            best = max(best, score)
-                            blocks += [f"{n}:{index.labels[k]}:{c:.3f}" for k, c in found]
-                row = (len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), best, ",".join(blocks))
+                base = positions(words)
+                found = [] if index.starts.isdisjoint(have) else index.matches(words, have)
+                labels = {label for _, label in base} | index.unbeaten(found)
+                share = lambda m: m[2] / len(index.sets[m[1]])
+                best = 1.0 if base else max(map(share, found), default=0.0)
+                blocks = ",".join(f"{m[0]}:{m[1]}:{share(m):.3f}" for m in found)
+                row = (len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), best, blocks)
                 for col, x in zip(out, row, strict=True):
                     col.append(x)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=names)
@@ -171,19 +222,24 @@ def oracle() -> str:
     templates = []
     for k, (label, text) in enumerate(TEMPLATES):
         own = sorted(set(words_of(text)))
-        templates.append(f"({k}, '{label}', {quoted(own)}, {len(own)}, {math.ceil(0.8 * len(own) - 1e-9)})")
+        templates.append(f"({k}, '{label}', {quoted(own)}, {len(words_of(text))}, {len(own)}, {math.ceil(0.8 * len(own) - 1e-9)})")
     return rf"""
-WITH p(label, words) AS (VALUES {phrases}), t(k, label, words, size, need) AS (VALUES {", ".join(templates)}),
-d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
-w AS (SELECT rid, doc_id, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d),
+WITH p(label, words) AS (VALUES {phrases}), t(k, label, words, length, size, need) AS (VALUES {", ".join(templates)}),
+w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 s AS (SELECT rid, i - 1 AS place, label FROM (SELECT rid, ws, label, words, unnest(range(1, len(ws) - len(words) + 2)) AS i FROM w, p) WHERE ws[i:i + len(words) - 1] = words),
 b AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM s GROUP BY rid),
-l AS (SELECT rid, line - 1 AS line, list_distinct(regexp_extract_all(code, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws FROM (SELECT rid, unnest(string_split(low, chr(10))) AS code, generate_subscripts(string_split(low, chr(10)), 1) AS line FROM d)),
-m AS (SELECT rid, line, k, label, size, n, n / size AS share FROM (SELECT rid, line, k, label, size, need, len(list_intersect(l.ws, words)) AS n FROM l, t) WHERE n >= need),
-best AS (SELECT rid, label, share FROM (SELECT *, row_number() OVER (PARTITION BY rid, line ORDER BY share DESC, size DESC, k) AS r FROM m) WHERE r = 1),
-a AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM best UNION SELECT rid, label FROM s) GROUP BY rid),
-h AS (SELECT rid, max(share) AS share FROM m GROUP BY rid), k AS (SELECT rid, string_agg(line || ':' || label || ':' || printf('%.3f', share), ',' ORDER BY line, k) AS blocks FROM m GROUP BY rid)
+v AS (SELECT k, length, need, unnest(words) AS word FROM t),
+e AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS place FROM w),
+o AS (SELECT rid, place, word, k, length, need FROM e JOIN v USING (word)),
+q AS (SELECT rid, k FROM o GROUP BY rid, k HAVING count(DISTINCT word) >= any_value(need)),
+o2 AS (SELECT o.* FROM o JOIN q USING (rid, k)),
+c AS (SELECT x.rid, x.k, x.place, count(DISTINCT y.word) AS n FROM o2 x JOIN o2 y ON y.rid = x.rid AND y.k = x.k AND y.place >= x.place AND y.place < x.place + x.length GROUP BY x.rid, x.k, x.place HAVING count(DISTINCT y.word) >= any_value(x.need)),
+m AS (SELECT c.rid, c.k, c.place, n / size AS share, size, label, place + length AS stop FROM c JOIN t USING (k)),
+a AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (
+  SELECT rid, label FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.rid = m.rid AND o.label <> m.label AND o.place < m.stop AND o.stop > m.place AND (o.share > m.share OR o.share = m.share AND (o.size > m.size OR o.size = m.size AND o.k < m.k)))
+  UNION SELECT rid, label FROM s) GROUP BY rid),
+h AS (SELECT rid, max(share) AS share, string_agg(place || ':' || k || ':' || printf('%.3f', share), ',' ORDER BY place, k) AS blocks FROM m GROUP BY rid)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
   CASE WHEN n_base IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score, coalesce(blocks, '') AS blocks
-FROM w LEFT JOIN b USING (rid) LEFT JOIN a USING (rid) LEFT JOIN h USING (rid) LEFT JOIN k USING (rid)
+FROM w LEFT JOIN b USING (rid) LEFT JOIN a USING (rid) LEFT JOIN h USING (rid)
 """
