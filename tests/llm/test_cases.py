@@ -105,10 +105,13 @@ def test_passages(odd, empty):
 def test_neighbours(spark):
     rows = [(i, [1.0, float(i % 4), 0.5], "x", 1.0) for i in range(30)] + [(100, None, "x", 1.0), (101, [0.0, 0.0, 0.0], "x", 1.0), (102, [1.0, None, 2.0], "x", 1.0), (103, [float("nan"), 1.0, 1.0], "x", 1.0), (104, [1.0], "x", 1.0), (None, [1.0, 1.0, 1.0], "x", 1.0), (0, [1.0, 0.0, 0.5], "x", 1.0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string, score double")
-    found = neighbours.nearest(table, lambda v: v % 10 == 0, curves=3, dims=2).collect()
+    found = neighbours.nearest(table, lambda v: v % 10 == 0, curves=3).collect()
     assert {r["query_id"] for r in found} == {0, 10, 20}
-    mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == 0)
-    assert [m[1] for m in mine] == [4, 8, 12, 16, 20, 24, 28, 1, 5, 9] and mine[0][2] == 0.0
+    mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == 10)
+    assert [m[1] for m in mine] == [2, 6, 14, 18, 22, 26, 1, 3, 5, 7] and mine[0][2] == 0.0
+    # id 0 is there twice with equal vectors: two rows that search, each finds the other first
+    twice = [r["vec_id"] for r in found if r["query_id"] == 0 and r["rank"] == 1]
+    assert twice == [0, 0] and sum(r["query_id"] == 0 for r in found) == 20
     assert neighbours.nearest(table.limit(0), lambda v: v % 10 == 0).count() == 0
-    few = neighbours.nearest(table.where("vec_id < 3"), lambda v: v % 10 == 0).collect()
-    assert [(r["query_id"], r["vec_id"]) for r in sorted(few, key=lambda r: r["rank"])] == [(0, 1), (0, 2)]
+    few = neighbours.nearest(table.where("vec_id < 3"), lambda v: v % 10 == 5).collect() + neighbours.nearest(table.where("vec_id in (1, 2, 10)"), lambda v: v % 10 == 0).collect()
+    assert [(r["query_id"], r["vec_id"]) for r in sorted(few, key=lambda r: r["rank"])] == [(10, 2), (10, 1)]
