@@ -97,9 +97,9 @@ def test_masking(odd):
 
 
 def test_passages(odd, empty):
-    found = passages.passages(passages.shared_passages(odd)).collect()
-    assert {r["doc_id"] for r in found} == {3, 4, 7, 8}
-    assert passages.passages(passages.shared_passages(empty)).count() == 0
+    found = passages.passages(odd).collect()
+    assert {r["doc_id"] for r in found} == {3, 4, 7, 8} and {(r["doc_id"], r["partner_id"]) for r in found} == {(3, 4), (4, 3), (7, 8), (8, 7)}
+    assert passages.passages(empty).count() == 0
 
 
 def test_neighbours(spark):

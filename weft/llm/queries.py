@@ -60,9 +60,9 @@ def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .passages import passages, shared_passages
+    from .passages import passages
 
-    return passages(shared_passages(table(spark, sf_dir, "documents")))
+    return passages(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
