@@ -261,6 +261,31 @@ def test_graph_packing(spark):
     assert sorted(x["method"] for x in two) == ["A", "B", "Big", "Shared"] and {x["method"]: x["chunk"] for x in two}["A"] == {x["method"]: x["chunk"] for x in two}["B"]
 
 
+def test_graph_packing_keeps_its_promises(spark):
+    """Every method once, nothing over the limit but single methods, no two chunks left that fit together, the same from rows in any order."""
+    r = random.Random(3)
+    methods = [(p, i, f"m{i}", r.randint(5, 90)) for p in range(3) for i in range(120)]
+    domains = [(p, f"m{i}", f"d{d}", 10 + d) for p in range(3) for i in range(120) for d in r.sample(range(30), r.randint(0, 4))]
+    frames = lambda a, b: (spark.createDataFrame(a, "page long, ord int, method string, chars long"), spark.createDataFrame(b, "page long, method string, domain string, chars long"))
+    found = sorted(map(tuple, pack.pack_graph(*frames(methods, domains), 300, 400).collect()))
+    assert sorted((p, m) for p, _, m, _ in found) == sorted((p, m) for p, _, m, _ in methods)
+    chars = {(p, m): c for p, _, m, c in methods}
+    types = {}
+    for p, m, d, c in domains:
+        types.setdefault((p, m), {})[d] = c
+    size = lambda p, ms: sum(chars[p, m] for m in ms) + sum({d: c for m in ms for d, c in types.get((p, m), {}).items()}.values())
+    chunks = {}
+    for p, n, m, over in found:
+        chunks.setdefault((p, n, over), []).append(m)
+    assert all(over == (size(p, ms) > 400) and (not over or len(ms) == 1) for (p, _, over), ms in chunks.items())
+    for p in range(3):
+        mine = [ms for (q, _, over), ms in chunks.items() if q == p and not over]
+        assert all(size(p, x + y) > 400 for i, x in enumerate(mine) for y in mine[:i])
+    r.shuffle(methods)
+    r.shuffle(domains)
+    assert sorted(map(tuple, pack.pack_graph(*frames(methods, domains), 300, 400).collect())) == found
+
+
 def test_rendering(spark):
     methods = spark.createDataFrame([(1, 1, "B", "b()", ["R.id.b"]), (1, 0, "A", "a()", ["R.id.a"])], "page long, ord int, method string, source_code string, resource_ids array<string>")
     types = spark.createDataFrame([(1, 0, "T", "class T")], "page long, ord int, type_full_name string, body string")

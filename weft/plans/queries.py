@@ -510,7 +510,16 @@ def pack_files(spark, sf_dir):
     return pack.pack_ordered(read(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 20_000, 25_000)
 
 
-@query()
+@query("""
+WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, i, CAST(length(ls[i]) AS BIGINT) + CASE WHEN i < len(ls) THEN 1 ELSE 0 END AS n FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)),
+p AS (SELECT doc_id, i, k, least(5000, n - 5000 * k) AS n FROM (SELECT doc_id, i, n, unnest(range(0, (n + 4999) // 5000)) AS k FROM e WHERE n > 0)),
+u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS i, n FROM p),
+f AS (SELECT doc_id, i, n, n AS used, CAST(1 AS BIGINT) AS chunk FROM u WHERE i = 1
+  UNION ALL SELECT u.doc_id, u.i, u.n, CASE WHEN f.used >= 4000 OR f.used + u.n > 5000 THEN u.n ELSE f.used + u.n END, f.chunk + CASE WHEN f.used >= 4000 OR f.used + u.n > 5000 THEN 1 ELSE 0 END FROM f JOIN u ON u.doc_id = f.doc_id AND u.i = f.i + 1),
+c AS (SELECT doc_id, chunk, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY doc_id, chunk)
+SELECT doc_id, chunk, CAST(sum(n) OVER w - n AS BIGINT) AS start, CAST(sum(n) OVER w AS BIGINT) AS stop, CAST(n AS INTEGER) AS n_chars FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY chunk)
+""")
 def pack_text(spark, sf_dir):
     """Documents in chunks of 4,000 to 5,000 characters; bodies joined give the text back."""
     found = pack.pack_text(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 4000, 5000)
