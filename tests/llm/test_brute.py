@@ -480,8 +480,7 @@ def test_long_extension(spark):
     base = [f"w{r.randrange(10**6)}" for _ in range(3000)]
     texts = [" ".join(base), " ".join(["x", *base[:2990], "y"])]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    (pair,) = passages.shared_passages(frame, window=1500, least=1).collect()
-    assert pair["same"] == 2990
+    assert {r["same"] for r in passages.shared_passages(frame, window=1500, least=1).collect()} == {2990}
 
 
 def test_chains_against_all_subsequences():
