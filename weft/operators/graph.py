@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where that is unset (tests on one machine), a temporary one."""
-    if spark.sparkContext.getCheckpointDir() is None:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one, but only if all tasks run on this machine."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "weft-checkpoints"))
-    return spark.sparkContext.getCheckpointDir()
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "weft-checkpoints"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -33,7 +36,7 @@ def shortest_paths(roots: DataFrame, edges: DataFrame, max_depth: int) -> DataFr
     Of the paths to a node that are equally short, the smallest in array order stays; since a prefix of a smallest
     shortest path is one itself, a round needs the previous frontier only.
     """
-    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    edges = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     seen = cut(roots.select("root").distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path")))
     frontier = seen
     for depth in range(1, max_depth + 1):

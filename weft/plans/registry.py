@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import more
+from . import more, scans
 from .queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "more"]
+__all__ = ["ORACLES", "QUERIES", "more", "scans"]
