@@ -160,6 +160,19 @@ def test_callbacks_over_lambdas(spark):
     assert rows(found, "callback", "relation", "depth") == [("screen.onCreate", "LAMBDA_REGISTRATION_CHAIN", 2), ("screen.onTap", "CALLER_CHAIN", 1)]
 
 
+def test_walks_without_a_bound(spark):
+    chain = spark.createDataFrame([(n, n + 1) for n in range(20)] + [(20, 0)], "src long, dst long")
+    roots = spark.createDataFrame([(20,)], "root long")
+    assert rows(graph.shortest_paths(roots, chain, None), "node", "depth") == sorted([(20, 0)] + [(n, n + 1) for n in range(20)], key=repr)
+    nodes = spark.createDataFrame([(n, "LISTENER" if n == 3 else None, False) for n in range(21)], "node long, callback_kind string, framework boolean")
+    found = graph.backward_callbacks(roots, chain, chain.limit(0), nodes)
+    assert [(r["callback"], r["depth"], r["path"]) for r in found.collect()] == [(3, 17, list(range(3, 21)))]
+    deep = spark.createDataFrame([(n, n - 1) for n in range(1, 80)], "node long, parent long")
+    assert rows(graph.ancestors(deep), "node", "ancestor", "distance") == sorted(((n, a, n - a) for n in range(1, 80) for a in range(n)), key=repr)
+    with pytest.raises(ValueError, match="cycle"):
+        graph.ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node long, parent long"))
+
+
 def test_ancestors(spark):
     tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 4), (6, 5)], "node long, parent long")
     up = graph.ancestors(tree, 8)

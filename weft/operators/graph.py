@@ -1,4 +1,4 @@
-"""Bounded walks over edge tables: closures, paths, fixpoints.
+"""Walks over edge tables: closures, paths, fixpoints; bounded, or (max_depth None) until nothing is left.
 
 All are loops over frontiers: a round is one join of the newest rows with the edges and one anti-join with what has
 been seen. Each round is written to the checkpoint folder, so plans stay short and a lost executor costs one
@@ -7,8 +7,10 @@ round. Ties go to the shortest, then the lexicographically smallest path.
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +32,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shortest_paths(roots: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+def rounds(max_depth: int | None) -> Iterable[int]:
+    return itertools.count(1) if max_depth is None else range(1, max_depth + 1)
+
+
+def gathered(seen: DataFrame, frontier: DataFrame, depth: int) -> DataFrame:
+    """What was seen and the newest rows; written anew after each eighth round, so that a long walk keeps a short plan."""
+    seen = seen.unionByName(frontier)
+    return cut(seen) if depth % 8 == 0 else seen
+
+
+def shortest_paths(roots: DataFrame, edges: DataFrame, max_depth: int | None) -> DataFrame:
     """root, node, depth, path (array): all nodes within max_depth of each root (column root), roots at depth 0.
 
     Of the paths to a node that are equally short, the smallest in array order stays; since a prefix of a smallest
@@ -39,13 +51,13 @@ def shortest_paths(roots: DataFrame, edges: DataFrame, max_depth: int) -> DataFr
     edges = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     seen = cut(roots.select("root").distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path")))
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in rounds(max_depth):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         step = step.join(seen.select("root", "node"), ["root", "node"], "left_anti")
         frontier = cut(step.groupBy("root", "node").agg(F.min("path").alias("path")).select("root", "node", F.lit(depth).alias("depth"), "path"))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = gathered(seen, frontier, depth)
     return seen
 
 
@@ -55,20 +67,21 @@ def forward_closure(roots: DataFrame, edges: DataFrame, nodes: DataFrame, max_de
     return shortest_paths(roots, edges.join(domain, "dst", "left_semi"), max_depth).where("depth > 0")
 
 
-def backward_callbacks(primaries: DataFrame, calls: DataFrame, hosts: DataFrame, nodes: DataFrame, max_depth: int) -> DataFrame:
+def backward_callbacks(primaries: DataFrame, calls: DataFrame, hosts: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """root, callback, kind, relation, depth, path: the callbacks that lead to each primary, best path for each.
 
     calls (src calls dst) and hosts (src registers the lambda dst) are walked backwards over nodes that are not of
     the framework. nodes: node, callback_kind (null: none), framework. Relations: SELF, CALLER_CHAIN over calls,
     LAMBDA_REGISTRATION_CHAIN over hosts; the last one that changed it counts, and a node may be met under several.
+    A node is met once for each relation, so cycles end the walk.
     """
     edges = calls.select("src", "dst", F.lit(False).alias("via_host")).unionByName(hosts.select("src", "dst", F.lit(True).alias("via_host"))).distinct()
     own = nodes.where("not framework").select(F.col("node").alias("src"))
-    edges = edges.join(own, "src", "left_semi")
+    edges = cut(edges.join(own, "src", "left_semi"))
     start = primaries.select("root").distinct()
     seen = cut(start.select("root", F.col("root").alias("node"), F.lit("SELF").alias("relation"), F.lit(0).alias("depth"), F.array("root").alias("path")))
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in rounds(max_depth):
         step = frontier.join(edges, frontier["node"] == edges["dst"])
         relation = F.when(F.col("via_host"), "LAMBDA_REGISTRATION_CHAIN").when(F.col("relation") == "SELF", "CALLER_CHAIN").otherwise(F.col("relation"))
         step = step.select("root", F.col("src").alias("node"), relation.alias("relation"), F.concat(F.array("src"), "path").alias("path"))
@@ -76,7 +89,7 @@ def backward_callbacks(primaries: DataFrame, calls: DataFrame, hosts: DataFrame,
         frontier = cut(step.groupBy("root", "node", "relation").agg(F.min("path").alias("path")).select("root", "node", "relation", F.lit(depth).alias("depth"), "path"))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = gathered(seen, frontier, depth)
     kinds = nodes.where("callback_kind is not null").select("node", F.col("callback_kind").alias("kind"))
     rank = F.when(F.col("relation") == "SELF", 0).when(F.col("relation") == "LAMBDA_REGISTRATION_CHAIN", 1).when(F.col("relation") == "CALLER_CHAIN", 2).otherwise(9)
     found = seen.join(kinds, "node")
@@ -104,18 +117,20 @@ def first_value(starts: DataFrame, edges: DataFrame, values: DataFrame, max_dept
     return found.groupBy("root").agg(F.min(F.struct("depth", "path", "value")).alias("b")).select("root", "b.value", "b.depth")
 
 
-def ancestors(parents: DataFrame, max_depth: int) -> DataFrame:
-    """node, ancestor, distance over a tree of (node, parent), by doubling: log2(max_depth) joins."""
+def ancestors(parents: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """node, ancestor, distance over a tree of (node, parent), by doubling: log2(depth) joins; parents in a cycle are an error unless max_depth is set."""
     up = cut(parents.where("parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
     reach = 1
-    while reach < max_depth:
+    while max_depth is None or reach < max_depth:
         more = up.alias("x").join(up.alias("y"), F.col("x.ancestor") == F.col("y.node")).where(F.col("x.distance") == reach)
-        more = more.select("x.node", "y.ancestor", (F.col("x.distance") + F.col("y.distance")).alias("distance")).where(F.col("distance") <= max_depth)
-        grown = cut(up.unionByName(more))
-        reach *= 2
-        if more.isEmpty():
+        more = more.select("x.node", "y.ancestor", (F.col("x.distance") + F.col("y.distance")).alias("distance"))
+        up = cut(up.unionByName(more if max_depth is None else more.where(F.col("distance") <= max_depth)))
+        longer = up.where(F.col("distance") > reach)
+        if longer.isEmpty():
             break
-        up = grown
+        if max_depth is None and not longer.where("node = ancestor").isEmpty():
+            raise ValueError("parents form a cycle")
+        reach *= 2
     return up
 
 

@@ -211,23 +211,23 @@ def streamed_state(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE w(node, ancestor, distance) AS (SELECT p_partkey, p_partkey // 2, 1 FROM part WHERE p_partkey > 1 UNION ALL SELECT node, ancestor // 2, distance + 1 FROM w WHERE ancestor > 1 AND distance < 16)
+WITH RECURSIVE w(node, ancestor, distance) AS (SELECT p_partkey, p_partkey // 2, 1 FROM part WHERE p_partkey > 1 UNION ALL SELECT node, ancestor // 2, distance + 1 FROM w WHERE ancestor > 1)
 SELECT node, ancestor, distance FROM w
 """)
 def ancestors(spark, sf_dir):
     """Parts as a tree: part n hangs below part n / 2."""
     tree = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") > 1, F.expr("p_partkey div 2")).alias("parent"))
-    return graph.ancestors(tree, 16)
+    return graph.ancestors(tree)
 
 
 @query("""
-WITH RECURSIVE w(node, ancestor, distance) AS (SELECT p_partkey, p_partkey // 2, 1 FROM part WHERE p_partkey > 1 UNION ALL SELECT node, ancestor // 2, distance + 1 FROM w WHERE ancestor > 1 AND distance < 16)
+WITH RECURSIVE w(node, ancestor, distance) AS (SELECT p_partkey, p_partkey // 2, 1 FROM part WHERE p_partkey > 1 UNION ALL SELECT node, ancestor // 2, distance + 1 FROM w WHERE ancestor > 1)
 SELECT node, arg_min(ancestor, distance) AS ancestor FROM w JOIN part ON p_partkey = ancestor WHERE p_size >= 40 GROUP BY node
 """)
 def nearest_ancestor(spark, sf_dir):
     part = read(spark, sf_dir, "part")
     tree = part.select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") > 1, F.expr("p_partkey div 2")).alias("parent"))
-    return graph.nearest_ancestor(graph.ancestors(tree, 16), part.withColumnRenamed("p_partkey", "node"), F.col("p_size") >= 40)
+    return graph.nearest_ancestor(graph.ancestors(tree), part.withColumnRenamed("p_partkey", "node"), F.col("p_size") >= 40)
 
 
 @query(f"""

@@ -439,19 +439,20 @@ def forward_closure(spark, sf_dir):
     return found.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "/"))
 
 
+# Every path to a purchase runs forward through the purchases between, so from a click the shortest one jumps to the next purchase.
 @query(f"""
-WITH RECURSIVE {EVENT_GRAPH}, d AS (SELECT event_id FROM events WHERE event_type <> 'error'),
-w(root, node, relation, depth, path) AS (SELECT event_id, event_id, 'SELF', 0, [event_id] FROM events WHERE event_type = 'purchase'
-  UNION ALL SELECT root, g.src, 'CALLER_CHAIN', depth + 1, list_prepend(g.src, path) FROM w JOIN g ON g.dst = w.node JOIN d ON d.event_id = g.src WHERE depth < 4)
-SELECT root, node AS callback, kind, relation, depth, array_to_string(path, '/') AS path FROM (SELECT w.*, event_type AS kind, row_number() OVER (PARTITION BY root, node ORDER BY depth, CASE relation WHEN 'SELF' THEN 0 ELSE 2 END, path) AS r
-  FROM w JOIN events ON event_id = node WHERE event_type IN ('click', 'signup')) WHERE r = 1
+WITH RECURSIVE {EVENT_GRAPH}, h AS (SELECT event_id AS src, CASE WHEN event_type = 'click' THEN coalesce(buy, nxt) ELSE nxt END AS dst FROM e WHERE event_type <> 'error'),
+w(root, node, depth, path) AS (SELECT event_id, event_id, 0, [event_id] FROM events WHERE event_type = 'purchase'
+  UNION ALL SELECT root, h.src, depth + 1, list_prepend(h.src, path) FROM w JOIN h ON h.dst = w.node)
+SELECT root, node AS callback, event_type AS kind, CASE depth WHEN 0 THEN 'SELF' ELSE 'CALLER_CHAIN' END AS relation, depth, array_to_string(path, '/') AS path
+FROM w JOIN events ON event_id = node WHERE event_type IN ('click', 'signup')
 """)
 def backward_paths(spark, sf_dir):
-    """The clicks and signups that lead to each purchase within four calls."""
+    """The clicks and signups that lead to each purchase, over any number of calls."""
     nodes, edges = event_graph(spark, sf_dir)
     primaries = nodes.where("event_type = 'purchase'").select(F.col("node").alias("root"))
     kinds = nodes.select("node", F.when(F.col("event_type").isin("click", "signup"), F.col("event_type")).alias("callback_kind"), (F.col("event_type") == "error").alias("framework"))
-    found = graph.backward_callbacks(primaries, edges, edges.limit(0), kinds, max_depth=4)
+    found = graph.backward_callbacks(primaries, edges, edges.limit(0), kinds)
     return found.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "/"))
 
 
