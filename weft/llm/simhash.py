@@ -270,16 +270,13 @@ def cell_links(rows: DataFrame, names: list[str], radius: int, block: int) -> Da
 
 
 def dealt(nodes: DataFrame, names: list[str], parts: list[tuple[str, list[int], int]]) -> DataFrame:
-    """Every node in the cell of its own bits of each part (word, bits, flips), and as a probe in those within so many flips."""
-    rows = None
-    for k, (word, group, t) in enumerate(parts):
-        own = nodes.select(F.lit(k).alias("part"), project(F.col(word), group).alias("key"), F.lit(False).alias("probe"), "node", *names)
-        rows = own if rows is None else rows.unionAll(own)
-        if t > 0:
-            masks = F.explode(F.array(*[F.lit(m) for m in flips(group, t)]))
-            probes = nodes.select("node", *names, masks.alias("flip"))
-            rows = rows.unionAll(probes.select(F.lit(k), project(F.col(word), group).bitwiseXOR(F.col("flip")), F.lit(True), "node", *names))
-    return rows
+    """Every node in the cell of its own bits of each part (word, bits, flips), and as a probe in those within so many flips; one scan of nodes."""
+    cells = [
+        F.struct(F.lit(k).alias("part"), project(F.col(word), group).alias("key"), F.array(*[F.lit(m).cast("long") for m in [0, *flips(group, max(t, 0))]]).alias("flips"))
+        for k, (word, group, t) in enumerate(parts)
+    ]
+    rows = nodes.select("node", *names, F.explode(F.array(*cells)).alias("cell")).select("node", *names, "cell.part", "cell.key", F.explode("cell.flips").alias("flip"))
+    return rows.select("part", F.col("key").bitwiseXOR(F.col("flip")).alias("key"), (F.col("flip") != 0).alias("probe"), "node", *names)
 
 
 def links(fps: DataFrame, radius: int = 4, block: int = 8192, choices: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
