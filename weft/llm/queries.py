@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses
+from . import decontaminate, licenses, manifest
 from ._common import table
 
 
@@ -65,6 +65,10 @@ def op10_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.without_line_ends(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii_spans": op2_pii_spans,
@@ -76,7 +80,8 @@ QUERIES = {
     "op9_line_crf_quality": op9_line_crf_quality,
     "op8_interleave": op8_interleave,
     "op10_shared_passages": op10_shared_passages,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 #: The other methods are beyond SQL (hash functions, trained models, tokens, approximate search); tests/llm has brute force for them.
-ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op4_license_join": licenses.oracle()}
+ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op4_license_join": licenses.oracle(), "op11_merkle_manifest": manifest.ORACLE}
