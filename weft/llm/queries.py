@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, manifest
+from . import decontaminate, licenses, manifest, ranking, rules
 from ._common import table
 
 
@@ -69,6 +69,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.without_line_ends(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii_spans": op2_pii_spans,
@@ -81,7 +89,15 @@ QUERIES = {
     "op8_interleave": op8_interleave,
     "op10_shared_passages": op10_shared_passages,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_weak_rules": op13_weak_rules,
 }
 
 #: The other methods are beyond SQL (hash functions, trained models, tokens, approximate search); tests/llm has brute force for them.
-ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op4_license_join": licenses.oracle(), "op11_merkle_manifest": manifest.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": decontaminate.ORACLE,
+    "op4_license_join": licenses.oracle(),
+    "op11_merkle_manifest": manifest.ORACLE,
+    "op12_ranked_search": ranking.ORACLE,
+    "op13_weak_rules": rules.oracle(),
+}
