@@ -68,9 +68,13 @@ def placed(rows: DataFrame, order: list[str]) -> DataFrame:
     return out.drop("_at", "_part", "_first", "_before")
 
 
+def count_text(level: int, width: int) -> str:
+    return f"((n + {width**level - 1}L) div {width**level}L)"
+
+
 def count_at(level: int, width: int) -> Column:
     """The nodes of a level above n nodes."""
-    return F.expr(f"(n + {width**level - 1}L) div {width**level}L")
+    return F.expr(count_text(level, width))
 
 
 @dataclass
@@ -114,28 +118,27 @@ def tree(items: DataFrame, width: int = 3, tier: int = 4) -> Tree:
 EMPTY = "cast(array() as array<struct<left: binary, right: binary>>)"
 
 
-def step(level: int, width: int) -> Column:
-    """What stands left and right of a node's ancestor at a level of its tier, out of the siblings `got`."""
-    own = F.expr(f"idx div {width**level}L")
-    side = lambda test: F.aggregate(F.filter("got", lambda x: (x["level"] == level) & test(x["at"])), F.lit(b""), lambda a, x: F.concat(a, x["digest"]))
-    return F.when(count_at(level, width) > 1, F.struct(side(lambda at: at < own).alias("left"), side(lambda at: at > own).alias("right")))
+def coordinates(width: int, tier: int) -> Column:
+    """(level, at) of all siblings of a node at the foot of a tier and of its ancestors in the tier."""
+    places = [(level, f"(idx div {width**level}L)", f"(idx div {width ** (level + 1)}L * {width} + {s})") for level in range(tier) for s in range(width)]
+    there = [f"IF({count_text(level, width)} > 1 AND {at} < {count_text(level, width)} AND {at} <> {own}, named_struct('level', {level}, 'at', {at}), NULL)" for level, own, at in places]
+    return F.expr(f"filter(array({', '.join(there)}), x -> x IS NOT NULL)")
+
+
+def steps(width: int, tier: int) -> Column:
+    """What stands left and right of a node and of its ancestors in the tier, level by level, out of the siblings `got`."""
+    side = lambda level, sign: f"aggregate(filter(got, x -> x.level = {level} AND x.at {sign} idx div {width**level}L), cast('' AS binary), (a, x) -> concat(a, x.digest))"
+    pairs = [f"IF({count_text(level, width)} > 1, named_struct('left', {side(level, '<')}, 'right', {side(level, '>')}), NULL)" for level in range(tier)]
+    return F.expr(f"filter(array({', '.join(pairs)}), x -> x IS NOT NULL)")
 
 
 def with_paths(base: DataFrame, made: Tree, k: int, above: DataFrame) -> DataFrame:
     """base (grp, idx, n and more: nodes at the foot of tier k) with path and what else `above` (grp, block, path, ...) has for their blocks."""
     width, tier = made.width, made.tier
-    wanted = []
-    for level in range(tier):
-        own = F.expr(f"idx div {width**level}L")
-        for s in range(width):
-            at = F.expr(f"idx div {width ** (level + 1)}L * {width} + {s}")
-            there = (count_at(level, width) > 1) & (at < count_at(level, width)) & (at != own)
-            wanted.append(F.when(there, F.struct(F.lit(level).alias("level"), at.alias("at"))))
-    asked = base.select("grp", "idx", F.explode(F.filter(F.array(*wanted), lambda x: x.isNotNull())).alias("w")).select("grp", "idx", "w.*")
-    got = asked.join(made.nodes(k), ["grp", "level", "at"]).groupBy("grp", "idx").agg(F.sort_array(F.collect_list(F.struct("level", "at", "digest"))).alias("got"))
-    out = base.join(got, ["grp", "idx"], "left").withColumn("got", F.coalesce("got", F.expr("cast(array() as array<struct<level: int, at: bigint, digest: binary>>)")))
-    own = F.filter(F.array(*[step(level, width) for level in range(tier)]), lambda x: x.isNotNull())
-    out = out.withColumns({"own": own, "block": F.expr(f"idx div {width**tier}L")}).drop("got")
+    asked = base.select("grp", "idx", F.explode(coordinates(width, tier)).alias("w")).select("grp", "idx", "w.*")
+    got = asked.join(made.nodes(k), ["grp", "level", "at"]).groupBy("grp", "idx").agg(F.expr("sort_array(collect_list(struct(level, at, digest)))").alias("got"))
+    out = base.join(got, ["grp", "idx"], "left").withColumn("got", F.expr("coalesce(got, cast(array() AS array<struct<level: int, at: bigint, digest: binary>>))"))
+    out = out.withColumns({"own": steps(width, tier), "block": F.expr(f"idx div {width**tier}L")}).drop("got")
     return out.join(above, ["grp", "block"]).withColumn("path", F.concat("own", "path")).drop("own", "block")
 
 

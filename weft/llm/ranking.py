@@ -114,9 +114,9 @@ class Block:
 
     def best(self, which: np.ndarray, weights: np.ndarray, weight: np.ndarray, k: int, step: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of the k best documents. which, weights: an item's terms and what each adds; weight: the same by term."""
-        at = np.searchsorted(self.names, which)
-        there = (at < len(self.names)) & (self.names[np.minimum(at, len(self.names) - 1)] == which) & (weights > 0)
-        first, last, weights = self.first[at[there]], self.last[at[there]], weights[there]
+        there = np.isin(which, self.names) & (weights > 0)
+        at, weights = np.searchsorted(self.names, which[there]), weights[there]
+        first, last = self.first[at], self.last[at]
         met = np.zeros(len(self.ids), bool)
         top, score, depth = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         while len(first):
