@@ -1,9 +1,13 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns for every operator."""
 
 import itertools
+import zlib
 
+import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from weft.llm import decontaminate, licenses, lm, neighbours, packing, passages, pii, quality, sharding, simhash
 
@@ -73,6 +77,18 @@ def test_packing(odd, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_long_runs(spark):
+    runs = [c * 3_000_000 for c in (" ", "\n", "a", "7", " \n")]
+    rows = spark.createDataFrame([(i, f"start{t}end") for i, t in enumerate(runs)], "doc_id long, text string").repartition(5)
+    found = packing.pack(rows).collect()
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for i, t in enumerate(runs):
+        ids = np.array([*plain.encode(f"start{t}end", add_special_tokens=False).ids, 0], "<u4")
+        mine = sorted((r["start"], r["length"], r["ids_crc32"]) for r in found if r["doc_id"] == i)
+        assert [m[0] for m in mine] == [0, *np.cumsum([m[1] for m in mine])[:-1]] and sum(m[1] for m in mine) == len(ids)
+        assert all(zlib.crc32(ids[a : a + n].tobytes()) == crc for a, n, crc in mine)
+
+
 def test_decontamination(odd, empty, benchmark):
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(odd, benchmark).collect()}
     assert found == {(7, 1), (8, 1), (5, None), (6, None)}

@@ -14,9 +14,10 @@ than a sequence is packed:
 
 Token ids are those that the "tokenizers" library gives with its default settings for `byte_bpe_50k.json`, the special string
 in a text included. They are computed with tiktoken from the rank file of the same vocabulary (`tokenizer`), which gives
-the same ids seven times as fast; tests compare the two.
+the same ids seven times as fast; tests compare the two. Its regular expression gives up on runs of about a million blanks or line
+ends; such a text is handed to "tokenizers" itself (`slow_tokenizer`), which takes about a second a million characters.
 
-Defined cases: a null or empty text is the end id alone; null and repeated ids are rows like any others (each
+Defined cases: a null or empty text is the end id alone; a very long text is encoded whole in one task and cut into pieces; null and repeated ids are rows like any others (each
 row is packed once); an empty table gives no rows; further columns are ignored.
 """
 
@@ -34,6 +35,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from ._common import cut, only_id_text, slices
 
@@ -41,6 +43,7 @@ from ._common import cut, only_id_text, slices
 SPECIAL = {"<|endoftext|>": 50256}
 
 _ENCODING: dict = {}
+_SLOW: dict = {}
 
 
 def encoding(path: str) -> tiktoken.Encoding:
@@ -51,15 +54,23 @@ def encoding(path: str) -> tiktoken.Encoding:
     return _ENCODING[path]
 
 
-def pieces(docs: DataFrame, size: int, end_id: int, tokenizer: str) -> DataFrame:
+def token_ids(text: str, tokenizer: str, slow_tokenizer: str) -> list[int]:
+    try:
+        return encoding(tokenizer).encode(text, allowed_special="all")
+    except ValueError:  # a run that the pattern can't match within its stack
+        if slow_tokenizer not in _SLOW:
+            _SLOW[slow_tokenizer] = Tokenizer.from_file(slow_tokenizer)
+        return _SLOW[slow_tokenizer].encode(text, add_special_tokens=False).ids
+
+
+def pieces(docs: DataFrame, size: int, end_id: int, tokenizer: str, slow_tokenizer: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(tokenizer)
         for b in slices(batches):
             out: list[list[int | None]] = [[] for _ in names]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.array([*enc.encode(text or "", allowed_special="all"), end_id], "<u4")
+                ids = np.array([*token_ids(text or "", tokenizer, slow_tokenizer), end_id], "<u4")
                 first = len(ids) % size or size
                 edges = [0, *range(first, len(ids) + 1, size)]
                 for k, (a, z) in enumerate(zip(edges, edges[1:], strict=False)):
@@ -220,11 +231,11 @@ def packed(items: DataFrame, size: int, district: int, islands: int, rounds: int
 
 
 def pack(
-    docs: DataFrame, size: int = 2048, end_id: int = 0, tokenizer: str | None = None, district: int = 4096, islands: int = 2, rounds: int = 2,
+    docs: DataFrame, size: int = 2048, end_id: int = 0, tokenizer: str | None = None, slow_tokenizer: str | None = None, district: int = 4096, islands: int = 2, rounds: int = 2,
     population: int = 4, generations: int = 12, well_filled: float = 0.98, seed: int = 3,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    found = pieces(docs, size, end_id, tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    found = pieces(docs, size, end_id, tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken"), slow_tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
     found = cut(found.withColumn("uid", F.monotonically_increasing_id()))
     rest = found.where(F.col("length") < size).select("uid", "length")
     options = {"size": size, "islands": islands, "rounds": rounds, "population": population, "generations": generations}
