@@ -50,3 +50,9 @@ def test_without_the_optional_parts(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and 'bundle' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
+
+
+def test_a_library_of_the_optional_parts_is_missing():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'bundle' in q and set(e.oracle_sql()) <= set(q) and not any(n.startswith('op') for n in q)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, env=env, check=True, timeout=120)
