@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import more, scans
+from . import forests, more, scans
 from .queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "more", "scans"]
+__all__ = ["ORACLES", "QUERIES", "forests", "more", "scans"]
