@@ -1,8 +1,10 @@
 """Collectors, detectors and slices on a small program graph."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from weft.operators import program
+from weft.operators import cfg, program
 from weft.sources.android import lines
 
 NODE = "id long, label string, name string, full_name string, code string, type_full_name string, file string, line int, line_end int, ord int, argument_index int, method_id long"
@@ -129,3 +131,50 @@ def test_property_uses_and_stats(spark):
     after = spark.createDataFrame([(1, "A", False), (1, "B", False), (2, "C", True)], "chunk int, method string, oversized boolean")
     found = program.packing_stats(before, after, spark.createDataFrame([("A", "r"), ("B", "r"), ("C", "s")], "method string, resource string")).first()
     assert (found["n_before"], found["n_after"], found["n_oversized"], found["n_resources"], found["saved"]) == (3, 2, 1, 2, 1)
+
+
+def test_expansion_is_that_of_a_depth_first_walk(spark):
+    r = random.Random(4)
+    fields = {f"T{i}": [(f"f{k}", r.choice(["Int", f"T{r.randrange(40)}", f"T{r.randrange(40)}?", f"T{r.randrange(40)}<Int>", "Other"])) for k in range(r.randrange(5))] for i in range(40)}
+    rows = [(o, n, t, k) for o, fs in fields.items() for k, (n, t) in enumerate(fs)]
+
+    def walk(root):
+        out, seen = [], set()
+
+        def go(path, raw):
+            kind = raw.rstrip("?")
+            own = fields.get(kind.split("<")[0])
+            if path:
+                out.append((root, path, kind, raw.endswith("?"), bool(own) and kind in seen))
+            if own and kind not in seen:
+                seen.add(kind)
+                for n, t in own:
+                    go(f"{path}.{n}" if path else n, t)
+
+        go("", root)
+        return out
+
+    frame = spark.createDataFrame([*rows, rows[0]], "owner string, name string, type string, ord long")
+    got = program.expanded_fields(frame, spark.createDataFrame([(t,) for t in fields], "root string")).collect()
+    assert sorted(map(tuple, got)) == sorted(x for t in fields for x in walk(t))
+
+
+def test_paths_are_those_of_a_depth_first_walk(spark):
+    r = random.Random(9)
+    edges = sorted({(m, r.randrange(14), r.randrange(14)) for m in range(8) for _ in range(26)})
+    after = lambda m, n: [d for k, s, d in edges if (k, s) == (m, n)]
+    for most, deep in ((8, 20), (5, 6), (1, 1)):
+        want = []
+        for m in range(8):
+            found, todo = [], [[0]]
+            while todo and len(found) < most:
+                path = todo.pop()
+                further = [d for d in after(m, path[-1]) if d not in path[:-1]] if len(path) < deep else []
+                if further:
+                    todo += [[*path, d] for d in reversed(further)]
+                else:
+                    found.append(path)
+            want += [(m, i, "/".join(map(str, p)), [f"{a}-{b}" for a, b in zip(p, p[1:])]) for i, p in enumerate(found, 1)]
+        frame = spark.createDataFrame([(*e, f"{e[1]}-{e[2]}") for e in edges], "method long, src long, dst long, label string")
+        got = cfg.block_paths(frame, spark.createDataFrame([(m, 0) for m in range(8)], "method long, node long"), most, deep).collect()
+        assert sorted(map(tuple, got)) == want

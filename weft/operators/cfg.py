@@ -5,7 +5,6 @@ nodes: method, node, line. edges: method, src, dst.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,28 +76,34 @@ def edge_labels(edges: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def block_paths(edges: DataFrame, entries: DataFrame, max_paths: int = 8, max_depth: int = 20) -> DataFrame:
-    """method, n, path: the first paths of each method in depth-first order, no node twice, cut at max_depth.
+    """method, n, path, conditions: the first paths of each method in depth-first order, cut at max_depth nodes.
 
-    A method's graph is one group; the walk stops at max_paths, so that it stays small work for a large graph.
+    A path ends where no successor is left that it doesn't hold already (a node may follow itself once). conditions: the labels of
+    its edges (column label of edges, else flow). All paths grow by one node a round. A path that isn't ended yields one path at
+    least, and its order among others stays as it is, so the max_paths first of a method, ended or not, are all that a round
+    hands on: as many rows a method, whatever the number of its paths.
     """
-
-    def walk(key, links: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
-        after: dict[int, list[int]] = {}
-        for s, d in sorted(set(zip(links["src"].tolist(), links["dst"].tolist(), strict=True))):
-            after.setdefault(s, []).append(d)
-        found: list[list[int]] = []
-        todo = [[n] for n in sorted(set(heads["node"].tolist()), reverse=True)]
-        while todo and len(found) < max_paths:
-            path = todo.pop()
-            further = [d for d in after.get(path[-1], ()) if d not in path] if len(path) < max_depth else []
-            if further:
-                todo += [[*path, d] for d in reversed(further)]
-            else:
-                found.append(path)
-        return pd.DataFrame({"method": [key[0]] * len(found), "n": range(1, len(found) + 1), "path": ["/".join(map(str, p)) for p in found]})
-
-    by = edges.select("method", "src", "dst").groupBy("method").cogroup(entries.select("method", "node").groupBy("method"))
-    return by.applyInPandas(walk, "method long, n long, path string")
+    label = F.col("label") if "label" in edges.columns else F.lit("flow")
+    links = edges.select("method", F.col("src").alias("_last"), F.col("dst").alias("_to"), label.alias("_label")).dropDuplicates(["method", "_last", "_to"])
+    links = cut(links.groupBy("method", "_last").agg(F.sort_array(F.collect_list(F.struct("_to", "_label"))).alias("_next")))
+    first = F.row_number().over(Window.partitionBy("method").orderBy("_path"))
+    best = lambda rows: rows.withColumn("n", first).where(F.col("n") <= max_paths)
+    start = entries.select("method", F.array("node").alias("_path"), F.array().cast("array<string>").alias("_labels"), F.lit(False).alias("_ended")).distinct()
+    paths = cut(best(start))
+    for length in range(1, max_depth):
+        open_ = paths.where("not _ended").withColumn("_last", F.element_at("_path", -1)).join(links, ["method", "_last"], "left")
+        held = F.slice("_path", 1, F.size("_path") - 1)
+        open_ = open_.withColumn("_next", F.filter(F.coalesce("_next", F.array()), lambda x: ~F.array_contains(held, x["_to"])))
+        grown = open_.withColumn("x", F.explode_outer("_next")).withColumn("_ended", F.col("x").isNull())
+        add = lambda xs, x: F.when(F.col("x").isNull(), F.col(xs)).otherwise(F.concat(xs, F.array(x)))
+        grown = grown.select("method", add("_path", F.col("x._to")).alias("_path"), add("_labels", F.col("x._label")).alias("_labels"), "_ended")
+        paths = best(paths.where("_ended").drop("n").unionByName(grown))
+        if length % 3 == 0 or length == max_depth - 1:
+            paths = cut(paths)
+            if paths.where("not _ended").isEmpty():
+                break
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "/")
+    return paths.select("method", F.col("n").cast("long").alias("n"), text("_path").alias("path"), F.col("_labels").alias("conditions"))
 
 
 def report(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -489,11 +489,18 @@ def basic_blocks(spark, sf_dir):
     return cfg.block_summary(cfg.basic_blocks(nodes.drop("event_type"), edges)).select("method", "leader", "n_nodes", "first_line", "last_line")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {EVENT_GRAPH}, x AS (SELECT method, src, list(dst ORDER BY dst) AS nxt FROM g GROUP BY 1, 2),
+p(method, path, ended) AS (SELECT user_id, [event_id], false FROM events WHERE event_id NOT IN (SELECT dst FROM g)
+  UNION ALL SELECT p.method, CASE WHEN t IS NULL THEN path ELSE list_append(path, t) END, t IS NULL OR len(path) + 1 >= 20
+  FROM p LEFT JOIN x ON x.method = p.method AND x.src = path[-1], unnest(CASE WHEN nxt IS NULL THEN [NULL] ELSE nxt END) AS u(t) WHERE NOT ended)
+SELECT method, n, array_to_string(path, '/') AS path FROM (SELECT method, path, row_number() OVER (PARTITION BY method ORDER BY path) AS n FROM p WHERE ended) WHERE n <= 8
+""")
 def block_paths(spark, sf_dir):
+    """The first eight runs of each user from the first event on, at most twenty events long."""
     nodes, edges = event_graph(spark, sf_dir)
     entries = cfg.degrees(nodes, edges).where("is_entry").select("method", "node")
-    return cfg.block_paths(edges, entries)
+    return cfg.block_paths(edges, entries).drop("conditions")
 
 
 # ---------------------------------------------------------------- packing
