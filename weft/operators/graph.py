@@ -99,7 +99,7 @@ def backward_callbacks(primaries: DataFrame, calls: DataFrame, hosts: DataFrame,
 
 def fixpoint(seed: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
     """node, round: nodes that reach the seed over edges (src needs dst), by the round in which they are found."""
-    edges = edges.select("src", "dst").distinct()
+    edges = cut(edges.select("src", "dst").distinct())
     seen = cut(seed.select("node").distinct().withColumn("round", F.lit(0)))
     frontier = seen
     for n in range(1, max_rounds + 1):
