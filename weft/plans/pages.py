@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators import compaction
+from weft.operators import compaction, graph
 from weft.sources import screens as source
-from weft.sources import variants
+from weft.sources import snapshots, variants
 
 from .queries import query, read
 
@@ -147,3 +149,24 @@ def json_usages(spark, sf_dir):
     text = F.concat(F.lit('[{"anchor": {"resource_id": "'), resource, F.lit('", "anchor_name": " '), "o_orderpriority", F.lit('"}, "usages": ['), "body", F.when(F.col("o_orderkey") % 9 == 0, "").otherwise("]}]"))
     rows = lines.join(read(spark, sf_dir, "orders"), "o_orderkey").select(F.col("o_orderkey").cast("string").alias("path"), text.alias("text"))
     return variants.usages(rows)
+
+
+# ---------------------------------------------------------------- snapshots
+
+
+@query("""
+WITH r AS (SELECT o_custkey AS k, o_orderkey AS n, o_orderstatus AS status, CAST(o_orderkey % 3 AS INTEGER) AS turn FROM orders),
+v AS (SELECT 'replaced' AS kind, k, max(n) AS n, arg_max(status, n) AS status, CAST(NULL AS INTEGER) AS since FROM r GROUP BY k)
+SELECT kind, k, n, status, since FROM v UNION ALL SELECT 'history', k, n, status, turn + 1 FROM r
+""")
+def snapshot_tables(spark, sf_dir):
+    """Orders committed in three turns, once put in by customer, once appended as a history, and read back from their last versions."""
+    folder = f"{graph.shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("n"), F.col("o_orderstatus").alias("status"))
+    current, history = snapshots.Snapshots(spark, f"{folder}/current"), snapshots.Snapshots(spark, f"{folder}/history")
+    for turn in range(3):
+        rows = orders.where(F.col("n") % 3 == turn)
+        snapshots.upsert(current, rows, ["k"], "n")
+        history.write(rows, turn, append=True)
+    out = current.read().drop("_since").withColumns({"kind": F.lit("replaced"), "since": F.lit(None).cast("int")})
+    return out.unionByName(history.read().withColumn("kind", F.lit("history")).withColumnRenamed("_since", "since")).select("kind", "k", "n", "status", "since")
