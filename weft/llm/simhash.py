@@ -264,6 +264,10 @@ def cell_links(rows: DataFrame, names: list[str], radius: int, block: int) -> Da
                 found = stars(np.concatenate((of[o], pf[p])), np.concatenate((on[o], pn[p])), o.stop - o.start, radius)
                 out.update(found)
             x = np.array(sorted(out), np.int64).reshape(-1, 2)
+            if len(x):  # cells have members in common: one star for all that hangs together in the batch
+                ids, at = np.unique(x, return_inverse=True)
+                at = at.reshape(-1, 2)
+                x = ids[np.column_stack(merged(len(ids), [(at[:, 0], at[:, 1])]))]
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
     return packed.select("own", "other").mapInArrow(run, "a long, b long").distinct()
