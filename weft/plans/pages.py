@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weft.operators import compaction, graph
 from weft.sources import screens as source
 from weft.sources import snapshots, variants
+from weft.streaming import ordered
 
 from .queries import query, read
 
@@ -170,3 +171,18 @@ def snapshot_tables(spark, sf_dir):
         history.write(rows, turn, append=True)
     out = current.read().drop("_since").withColumns({"kind": F.lit("replaced"), "since": F.lit(None).cast("int")})
     return out.unionByName(history.read().withColumn("kind", F.lit("history")).withColumnRenamed("_since", "since")).select("kind", "k", "n", "status", "since")
+
+
+@query("""
+WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS name FROM conversations), f AS (SELECT conv_id, name, min(turn) AS turn FROM w GROUP BY 1, 2), n AS (SELECT conv_id, turn, count(*) AS n FROM f GROUP BY 1, 2)
+SELECT c.conv_id AS conversation, c.turn AS page, 0 AS skipped, coalesce(n, 0) AS n_new, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY c.conv_id ORDER BY c.turn) AS BIGINT) AS n_total FROM conversations c LEFT JOIN n USING (conv_id, turn)
+""")
+def ordered_turns(spark, sf_dir):
+    """Turns as pages of a stream that delivers each of them twice: the words that every turn adds to its conversation."""
+    folder = f"{graph.shared_folder(spark)}/turns-{uuid.uuid4().hex}"
+    fields = read(spark, sf_dir, "conversations").schema
+    turns = spark.readStream.schema(fields).parquet(f"{sf_dir}/conversations.parque[t]")  # a pattern may be a file or a folder
+    at = F.timestamp_seconds(1_700_000_000 + F.col("turn"))
+    pages = turns.select(F.col("conv_id").alias("conversation"), F.col("turn").alias("page"), F.split("text", " ").alias("names"), at.alias("at"))
+    ordered.run(pages.unionAll(pages), f"{folder}/out", f"{folder}/state")
+    return spark.read.schema(ordered.SCHEMA).parquet(f"{folder}/out")
