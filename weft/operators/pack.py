@@ -99,14 +99,19 @@ def pack_ordered(df: DataFrame, group: str, order: str, size: str, target: int,
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            cols: dict[str, list] = {group: [], order: [], size: [], "chunk": [], "oversized": []}
             for r in pdf.itertuples():
-                used, chunk, chunks = r.used, r.chunk, []
+                used, chunk = r.used, r.chunk
                 for s in r.sizes:
                     if used and (used >= target or used + s > most):
                         chunk, used = chunk + 1, 0
                     used += s
-                    chunks.append(chunk)
-                yield pd.DataFrame({group: [r.g] * len(chunks), order: list(r.orders), size: list(r.sizes), "chunk": chunks, "oversized": [s > most for s in r.sizes]})
+                    cols["chunk"].append(chunk)
+                    cols["oversized"].append(s > most)
+                cols[group] += [r.g] * len(r.sizes)
+                cols[order] += list(r.orders)
+                cols[size] += list(r.sizes)
+            yield pd.DataFrame(cols)
 
     return joined.select("g", "orders", "sizes", "used", "chunk").mapInPandas(fold, f"{group} {kinds[group]}, {order} {kinds[order]}, {size} long, chunk long, oversized boolean")
 
@@ -142,12 +147,18 @@ def pack_text(df: DataFrame, key: str, text: str, target: int, most: int) -> Dat
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            cols: dict[str, list] = {key: [], "chunk": [], "start": [], "stop": [], "body": []}
             for k, body, n in zip(pdf.iloc[:, 0], pdf["_text"], pdf["_sizes"], strict=True):
                 if n is None or not len(n):
                     continue
-                stop = np.cumsum(n)
-                begin = stop - n
-                yield pd.DataFrame({key: [k] * len(n), "chunk": np.arange(1, len(n) + 1), "start": begin, "stop": stop, "body": pd.Series([body[x:y] for x, y in zip(begin, stop, strict=True)], dtype=object)})
+                stop = [0, *accumulate(n.tolist())]
+                cols[key] += [k] * len(n)
+                cols["chunk"] += range(1, len(n) + 1)
+                cols["start"] += stop[:-1]
+                cols["stop"] += stop[1:]
+                cols["body"] += [body[x:y] for x, y in pairwise(stop)]
+            if cols["chunk"]:
+                yield pd.DataFrame(cols)
 
     kind = df.schema[key].dataType.simpleString()
     return rows.mapInPandas(cut_up, f"{key} {kind}, chunk long, start long, stop long, body string")
