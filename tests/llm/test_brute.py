@@ -384,6 +384,27 @@ def test_jittered_copies(spark):
     assert hits >= 0.9 * 340 and dense >= 0.9 * 40
 
 
+def test_mirror_images():
+    """The images across the sets of planes of least distance, from among all sets, itself first."""
+    unit = np.random.default_rng(5).uniform(size=(7, 9))
+    every = (np.arange(1 << 9)[:, None] >> np.arange(9)) & 1
+    for probes in (1, 2, 40, 512, 9999):
+        got = list(neighbours.mirrored(unit, probes, 100))
+        rows, points = np.concatenate([r for r, _ in got]), np.concatenate([p for _, p in got])
+        for i, x in enumerate(unit):
+            mine = points[rows == i]
+            assert (mine[0] == x).all() and len(np.unique(mine, axis=0)) == len(mine) == min(probes, 512)
+            want = np.sort(every @ (x - 0.5) ** 2)[: len(mine)]
+            assert np.allclose(np.sort((np.abs(mine - x) > 1e-12) @ (x - 0.5) ** 2), want)
+
+
+def test_neighbours_of_a_crowd(spark):
+    """Cells that many queries look into are split by query; what is found stays the same."""
+    vectors = np.random.default_rng(8).normal(size=(400, 8)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    once = lambda crowd: sorted(map(tuple, neighbours.nearest(frame, lambda i: i % 2 == 0, curves=3, crowd=crowd).collect()))
+    assert once(16) == once(4096)
+
 def test_hilbert_steps():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         cells = np.array(list(np.ndindex(*[1 << bits] * dims)))

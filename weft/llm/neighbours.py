@@ -14,7 +14,7 @@ probes is `probes` * (n / 50,000) ** 0.6: the share of the table that a query lo
 64-dimensional unit vectors, the hardest case: recall@10 of 0.92 at 19 % of 51,282 rows, 0.91 at 7 % of 500,000.
 
 Places are cut into cells. A query's probes go to the cells that their windows touch, where its distance to each candidate is
-computed from the original vectors in double precision; each cell sends on the query's k + 1 best, which is all of
+computed from the original vectors in double precision, `crowd` queries of a cell in a group; each group sends on the query's k + 1 best, which is all of
 them that can count, and these merge per query. Nothing is cut off by an approximate distance.
 
 Equal vectors are one class with its smallest ids, so a vector that a third of all rows share is one row in
@@ -107,23 +107,26 @@ def orderings(mean: np.ndarray, cov: np.ndarray, curves: int, dims: int, seed: i
     return out
 
 
-def mirrored(unit: np.ndarray, probes: int, planes: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, points): `probes` points for each row of the unit cube, itself first, mirrored across sets of the middle planes that it is nearest to."""
-    planes = min(planes, unit.shape[1])
-    near = np.argsort(np.abs(unit - 0.5), axis=1, kind="stable")[:, :planes]
-    away = np.take_along_axis(unit - 0.5, near, 1) ** 2
-    sets = (np.arange(1 << planes)[:, None] >> np.arange(planes)[None, :]) & 1
-    probes = min(probes, len(sets))
-    rows, points = [], []
-    for at in range(0, len(unit), 1024):
-        cost = away[at : at + 1024] @ sets.T
-        best = np.argpartition(cost, probes - 1, axis=1)[:, :probes]
-        flip = np.zeros((len(best), probes, unit.shape[1]), bool)
-        np.put_along_axis(flip, np.broadcast_to(near[at : at + 1024, None, :], (len(best), probes, planes)), sets[best] == 1, 2)
-        some = np.repeat(unit[at : at + 1024, None, :], probes, 1)
-        points.append(np.where(flip, 1 - 1e-9 - some, some).reshape(-1, unit.shape[1]))
-        rows.append(np.repeat(np.arange(at, at + len(best)), probes))
-    return np.concatenate(rows), np.concatenate(points)
+def mirrored(unit: np.ndarray, probes: int, points: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, point) for rows of the unit cube: itself first, then its mirror images across the sets of middle planes of least total distance, `probes` in all.
+
+    The sets are built plane by plane, those of least distance kept, which are all that can be part of the answer, so every
+    set of planes is in reach of any number of probes. `points` bounds what is made at a time.
+    """
+    dims = unit.shape[1]
+    for at in range(0, len(unit), max(1, points // probes)):
+        some = unit[at : at + max(1, points // probes)]
+        cost, sets = np.zeros((len(some), 1)), np.zeros((len(some), 1), np.int64)
+        away = (some - 0.5) ** 2
+        for plane in np.argsort(away.mean(0), kind="stable"):
+            cost = np.concatenate((cost, cost + away[:, [plane]]), 1)
+            sets = np.concatenate((sets, sets | np.int64(1 << int(plane))), 1)
+            if cost.shape[1] > probes:
+                keep = np.argpartition(cost[:, 1:], probes - 2, axis=1)[:, : probes - 1] + 1 if probes > 1 else np.zeros((len(some), 0), np.int64)
+                keep = np.concatenate((np.zeros((len(some), 1), np.int64), keep), 1)
+                cost, sets = np.take_along_axis(cost, keep, 1), np.take_along_axis(sets, keep, 1)
+        flip = (sets[:, :, None] >> np.arange(dims)) & 1
+        yield np.repeat(np.arange(at, at + len(some)), sets.shape[1]), np.where(flip == 1, 1 - 1e-9 - some[:, None, :], some[:, None, :]).reshape(-1, dims)
 
 
 def classes(table: DataFrame, k: int, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame, int]:
@@ -142,7 +145,7 @@ def classes(table: DataFrame, k: int, id_col: str, vector_col: str) -> tuple[Dat
 
 
 def nearest(
-    table: DataFrame, is_query, k: int = 10, curves: int = 24, probes: int = 80, window: int = 4, around: int = 64, per_cell: int = 3, cell: int = 4096, seed: int = 11,
+    table: DataFrame, is_query, k: int = 10, curves: int = 24, probes: int = 80, window: int = 4, around: int = 64, per_cell: int = 3, cell: int = 4096, crowd: int = 4096, seed: int = 11,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose id fulfils `is_query` (a function of the id column)."""
@@ -153,7 +156,7 @@ def nearest(
     sought = asked.select("rep").distinct().withColumn("q", F.lit(True))
     nodes = found.join(sought, "rep", "left").select("rep", "vector", F.coalesce("q", F.lit(False)).alias("q"))
     n = found.count()
-    dims = max(1, min(size, 20, round(math.log2(max(n, 2) / per_cell))))
+    dims = max(1, min(size, 60, round(math.log2(max(n, 2) / per_cell))))  # 60 bits hold a level of 60 directions, enough for 10 ** 18 rows
     bits = min(20, 3 * (60 // dims))
     probes = max(48, math.ceil(probes * (n / 50_000) ** 0.6))
     plans = orderings(*moments(found, size), curves, dims, seed)
@@ -168,9 +171,9 @@ def nearest(
                 unit = np.clip((v @ directions - low) * scale, 0, 1 - 1e-9)
                 yield sent(c, unit, rep, 0, raw)
                 if len(asks):
-                    of, points = mirrored(unit[asks], probes)
-                    itself = (points == unit[asks[of]]).all(1)
-                    yield sent(c, points, rep[asks[of]], np.where(itself, 2, 1), pa.nulls(len(of), pa.binary()))
+                    for of, points in mirrored(unit[asks], probes):
+                        itself = np.concatenate(([True], of[1:] != of[:-1]))
+                        yield sent(c, points, rep[asks[of]], np.where(itself, 2, 1), pa.nulls(len(of), pa.binary()))
 
     def sent(c: int, unit: np.ndarray, rep: np.ndarray, probe, raw: pa.Array) -> pa.RecordBatch:
         key = hilbert_keys((unit * (1 << bits)).astype(np.int64), bits).astype(np.int64)
@@ -191,9 +194,13 @@ def nearest(
     # the wide window around a query's own key is a row of narrow ones
     wide = F.sequence(F.col("place") - around + window, F.col("place") + around - window, F.lit(2 * window).cast("long"))
     asks = placed.where("probe > 0").select("curve", "rep", F.explode(F.when(F.col("probe") == 2, wide).otherwise(F.array("place"))).alias("place"))
-    asks = asks.select(F.explode(reach).alias("cell"), "curve", "place", "rep").groupBy("cell", "curve", "rep").agg(F.collect_list("place").alias("places"))
+    asks = stored(asks.select(F.explode(reach).alias("cell"), "curve", "place", "rep").groupBy("cell", "curve", "rep").agg(F.collect_list("place").alias("places")))
+    # a cell that very many queries look into is a group for each so many of them, with the cell's rows in each
+    hot = stored(asks.groupBy("cell").agg(F.ceil(F.count("*") / crowd).cast("int").alias("parts")).where("parts > 1"))
+    asks = asks.join(hot, "cell", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    own = own.join(hot, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     whole = nodes.where("q").select("rep", "vector").mapInArrow(raw_vectors(kind, size), "rep long, vector binary")
-    asks = asks.join(whole, "rep").select("cell", "curve", "places", "rep", F.lit(True).alias("probe"), "vector")
+    asks = asks.join(whole, "rep").select("cell", "part", "curve", "places", "rep", F.lit(True).alias("probe"), "vector")
 
     def search(table: pa.Table) -> pa.Table:
         probe, curve, rep = (table.column(n).to_numpy() for n in ("probe", "curve", "rep"))
@@ -226,7 +233,7 @@ def nearest(
         kinds = (np.int64, np.int64, np.float64)
         return pa.table({n: pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t)) for n, x, t in zip(("rep", "other", "gap"), out, kinds, strict=True)})
 
-    near = own.unionAll(asks).groupBy("cell").applyInArrow(search, "rep long, other long, gap double")
+    near = own.unionByName(asks).groupBy("cell", "part").applyInArrow(search, "rep long, other long, gap double")
     near = near.groupBy("rep", "other").agg(F.min("gap").alias("gap"))
     best = Window.partitionBy("rep").orderBy("gap", "other")
     near = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("rep", "other")
