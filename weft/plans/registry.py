@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import forests, more, pages, scans
+from . import forests, more, pages, scans, usages
 from .queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "forests", "more", "pages", "scans"]
+__all__ = ["ORACLES", "QUERIES", "forests", "more", "pages", "scans", "usages"]
