@@ -209,6 +209,7 @@ def shared_groups(has: np.ndarray, weight: np.ndarray, chars: np.ndarray, free:
     free = free.copy()
     uses = has[free].sum(0)
     first = np.where(has & free[:, None], np.arange(len(has))[:, None], len(has)).min(0, initial=len(has))
+    whole, columns = chars + has @ weight, np.ascontiguousarray(has.T)
     out = []
     while True:
         saved = weight * (uses - 1)
@@ -216,33 +217,35 @@ def shared_groups(has: np.ndarray, weight: np.ndarray, chars: np.ndarray, free:
         if not len(worth):
             break
         seed = worth[np.lexsort((worth, first[worth], -uses[worth], -saved[worth]))[0]]  # columns are in the order of names
+        # what every method has in common with the group: in characters, and as the gain that ranks it; kept up as domains are added
         group, size, sent = [], 0, np.zeros(len(weight), bool)
+        common, gain = np.zeros(len(has), np.int64), np.zeros(len(has), np.int64)
 
         def add(i: int) -> bool:
             nonlocal size
-            more = chars[i] + weight[has[i] & ~sent].sum()
+            more = whole[i] - common[i]
             if size + more > most:
                 return False
             size += more
             group.append(int(i))
-            np.logical_or(sent, has[i], out=sent)
+            new = np.nonzero(has[i] & ~sent)[0]
+            common[:] += weight[new] @ columns[new]
+            gain[:] += np.maximum(weight[new], 1) @ columns[new]
+            sent[new] = True
             free[i] = False
             return True
 
         for i in np.nonzero(free & has[:, seed])[0]:
             add(i)
-        # what every method shares with the group, kept up as the group's domains grow
-        counted, gain = np.zeros(len(weight), bool), np.zeros(len(has), np.int64)
         while size < target:
-            new = sent & ~counted
-            gain += has[:, new] @ np.maximum(weight[new], 1)
-            counted |= new
-            near = np.nonzero(free & (gain > 0))[0]
-            if not any(add(i) for i in near[np.argsort(-gain[near], kind="stable")]):
+            near = np.nonzero(free & (gain > 0) & (size + whole - common <= most))[0]
+            if not len(near):
                 break
+            add(near[np.argmax(gain[near])])  # the first of those of greatest gain
         uses = uses - has[group].sum(0)
         touched = np.nonzero(sent)[0]
-        first[touched] = np.where(has[:, touched] & free[:, None], np.arange(len(has))[:, None], len(has)).min(0)
+        there = columns[touched] & free
+        first[touched] = np.where(there.any(1), there.argmax(1), len(has))
         out.append(group)
     group, size, sent = [], 0, np.zeros(len(weight), bool)
     for i in np.nonzero(free)[0]:
@@ -265,21 +268,33 @@ def merged_groups(groups: list[list[int]], has: np.ndarray, weight: np.ndarray,
     alone = np.array([chars[g].sum() for g in groups], np.int64)
     size = alone + sent @ weight
     count = np.array([len(g) for g in groups])
-    overlap = (sent * weight) @ sent.T
-    while len(groups) > 1:
-        i, j = np.triu_indices(len(groups), 1)
-        both = size[i] + size[j] - overlap[i, j]
-        fits = np.nonzero(both <= most)[0]
-        if not len(fits):
-            break
-        i, j, both = i[fits], j[fits], both[fits]
-        best = np.lexsort((i, j, np.minimum(count[i], count[j]), most - both, -overlap[i, j]))[0]
-        i, j = int(i[best]), int(j[best])
-        size[i] = both[best]
-        groups[i] += groups.pop(j)
+    # shared[i, j], i < j: what two groups that fit together have in common, else -1; best: the most of each row
+    place = np.arange(n)
+    held = sent.astype(float)  # sums of whole numbers, exact below 2 ** 53
+    overlap = ((held * weight) @ held.T).astype(np.int64)
+    del held
+    shared = np.where((place[:, None] < place) & (size[:, None] + size - overlap <= most), overlap, -1)
+    best = shared.max(1, initial=-1)
+    alive = np.ones(n, bool)
+    while n and (top := best.max()) >= 0:
+        i = np.nonzero(best == top)[0]
+        at, j = np.nonzero(shared[i] == top)
+        i = i[at]
+        both = size[i] + size[j] - top
+        pick = np.lexsort((i, j, np.minimum(count[i], count[j]), most - both))[0]
+        i, j = int(i[pick]), int(j[pick])
+        size[i] += size[j] - top
+        groups[i] += groups[j]
         sent[i] |= sent[j]
         count[i] += count[j]
-        sent, size, count = (np.delete(x, j, 0) for x in (sent, size, count))
-        overlap = np.delete(np.delete(overlap, j, 0), j, 1)
-        overlap[i] = overlap[:, i] = sent @ (sent[i] * weight)
-    return groups
+        alive[j] = False
+        own = np.nonzero(sent[i])[0]
+        with_i = sent[:, own] @ weight[own]
+        fits = np.where(alive & (size + size[i] - with_i <= most), with_i, -1)
+        stale = (best >= 0) & ((shared[:, i] == best) | (shared[:, j] == best))
+        shared[j], shared[:, j], best[j] = -1, -1, -1
+        shared[i], shared[:, i] = np.where(place > i, fits, -1), np.where(place < i, fits, -1)
+        stale[i] = True
+        best[stale] = shared[stale].max(1)
+        best[:i] = np.maximum(best[:i], shared[:i, i])
+    return [g for g, there in zip(groups, alive, strict=True) if there]
