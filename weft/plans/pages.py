@@ -17,10 +17,10 @@ from .queries import query, read
 
 def order_screens(spark, sf_dir) -> DataFrame:
     """page, text: a dump for each order, its lines as nodes, a node for the part in each; every fiftieth isn't closed."""
-    part = F.concat(F.lit("<node text=' p&#38;"), "l_partkey", F.lit(" ' clickable='FALSE'/>"))
-    line = F.concat(F.lit('<node resource-id="l'), "l_linenumber", F.lit('" package="x" text="&lt;'), "l_returnflag", F.lit('>" focused="'), F.when(F.col("l_quantity") > 25, "true").otherwise("false"), F.lit('">'), part, F.lit("</node>\n"))
-    key = F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_quantity", line.alias("line"))
-    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda x: x["line"]), "").alias("body"))
+    part = lambda x: F.concat(F.lit("<node text=' p&#38;"), x["l_partkey"], F.lit(" ' clickable='FALSE'/>"))
+    line = lambda x: F.concat(F.lit('<node resource-id="l'), x["l_linenumber"], F.lit('" package="x" text="&lt;'), x["l_returnflag"], F.lit('>" focused="'), F.when(x["l_quantity"] > 25, "true").otherwise("false"), F.lit('">'), part(x), F.lit("</node>\n"))
+    key = F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_quantity")
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(key)), line), "").alias("body"))
     end = F.when(F.col("page") % 50 == 0, "").otherwise("</hierarchy>")
     return lines.select("page", F.concat(F.lit("<?xml version='1.0'?><hierarchy rotation='0'><!-- <node> -->"), "body", end).alias("text"))
 
