@@ -327,6 +327,11 @@ def test_bindings_and_sources(spark):
     code = "package p.d;\nimport android.widget.TextView;\npublic final class MainBinding {\n public final TextView a;\n public final p.V b;\n public final X c;\n}"
     got = android.binding_fields_of(spark.createDataFrame([("MainBinding.java", code)], "path string, text string"))
     assert rows(got, "field", "type", "resolution", "line") == [("a", "android.widget.TextView", "import", 4), ("b", "p.V", "qualified", 5), ("c", "X", "raw", 6)]
+    # a file is read where it lies: many do not meet in one task, and two rows of one path do not mix
+    other = code.replace("MainBinding", "OtherBinding").replace("android.widget.", "z.").replace("p.d", "q")
+    plan = android.binding_fields_of(spark.createDataFrame([("x", code), ("x", other), ("y", "class No {}"), (None, code), ("z", None)], "path string, text string"))
+    assert rows(plan, "binding_class", "field", "type")[::3] == [("p.d.MainBinding", "a", "android.widget.TextView"), ("q.OtherBinding", "a", "z.TextView")] and plan.count() == 6
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
     files = spark.createDataFrame([("app/src/main/A.kt", "x"), ("app/src/test/B.kt", "x"), ("app/build/C.kt", "x"), ("D.java", "y\nz"), ("E.kt", " ")], "path string, text string")
     assert rows(android.source_files(files), "path", "n_lines") == [("D.java", 2), ("app/src/main/A.kt", 1)]
     assert rows(android.language_census(files)) == [("java", 1), ("kotlin", 4)]

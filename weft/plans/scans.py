@@ -83,7 +83,7 @@ FROM r, (VALUES ('a', 'TextView', 'android.widget.TextView', 'import', 4), ('b',
 """)
 def generated_bindings(spark, sf_dir):
     """Fields of generated binding classes, their types imported, qualified or as written."""
-    rows = parts(spark, sf_dir)
+    rows = parts(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")  # the table's few bytes become long texts
     name = text.snake_to_camel("s", True, "Binding")
     java = F.concat(F.lit("package app.b;\nimport android.widget.TextView;\npublic final class "), name, F.lit(" {\n  public final TextView a;\n  public final android.view.View b;\n  public final Own c;\n  private int d;\n}"))
     return android.binding_fields_of(rows.select(F.concat(F.lit("gen/"), "k", F.lit(".java")).alias("path"), java.alias("text")))

@@ -57,19 +57,24 @@ def dependency_roots(files: DataFrame) -> DataFrame:
 def binding_fields_of(files: DataFrame) -> DataFrame:
     """path, binding_class, field, raw_type, type, resolution, line of generated binding sources.
 
-    A type is qualified already, or resolved by an import of the file, or stays as written.
+    A type is qualified already, or resolved by an import of the file, or stays as written. Each row is a file and is read where
+    it lies: nothing is joined or shuffled, and a task holds one text at a time. A file without a path or a binding class has no rows.
     """
-    code = lines(files)
-    one = lambda pattern: F.regexp_extract("code", pattern, 1)
-    package = code.where("code rlike '^package '").groupBy("path").agg(F.min(one(r"^package\s+([\w.]+)")).alias("package"))
-    owner = code.where(F.col("code").rlike(r"\bclass\s+\w+Binding\b")).groupBy("path").agg(F.min_by(one(r"\bclass\s+(\w+Binding)\b"), "line").alias("binding_class"))
-    imports = code.where("code rlike '^import '").select("path", one(r"^import\s+([\w.]+);").alias("imported")).withColumn("raw_type", F.substring_index("imported", ".", -1))
-    imports = imports.groupBy("path", "raw_type").agg(F.min("imported").alias("imported"))
-    fields = code.select("path", "line", F.regexp_extract("code", r"public\s+final\s+([\w.]+)\s+(\w+)\s*;", 1).alias("raw_type"), F.regexp_extract("code", r"public\s+final\s+([\w.]+)\s+(\w+)\s*;", 2).alias("field"))
-    out = fields.where("field <> ''").join(owner, "path").join(package, "path", "left").join(imports, ["path", "raw_type"], "left")
+    one = lambda code, pattern, group=1: F.regexp_extract(code, pattern, group)
+    those = lambda marked, pattern: F.transform(F.filter("_lines", marked), lambda x: one(x, pattern))
+    begins = lambda word: lambda x: x.startswith(word)
+    owner, field = r"\bclass\s+(\w+Binding)\b", r"public\s+final\s+([\w.]+)\s+(\w+)\s*;"
+    public = F.filter(F.transform("_lines", lambda x, i: F.struct((i + 1).alias("line"), x.alias("code"))), lambda x: x["code"].contains("public") & x["code"].contains(";"))
+    found = F.transform(public, lambda x: F.struct(x["line"].alias("line"), one(x["code"], field).alias("raw_type"), one(x["code"], field, 2).alias("field")))
+    code = files.where("path is not null").select("path", F.split("text", "\n").alias("_lines"))
+    code = code.select(
+        "path", F.array_min(those(begins("package "), r"^package\s+([\w.]+)")).alias("package"), F.get(those(lambda x: x.contains("class") & x.rlike(owner), owner), F.lit(0)).alias("binding_class"),
+        those(begins("import "), r"^import\s+([\w.]+);").alias("_imports"), F.explode(F.filter(found, lambda x: x["field"] != "")).alias("f"),
+    )
+    rows = code.where("binding_class is not null").select("path", "package", "binding_class", "f.*", F.array_min(F.filter("_imports", lambda x: F.substring_index(x, ".", -1) == F.col("f.raw_type"))).alias("imported"))
     resolution = F.when(F.col("raw_type").contains("."), "qualified").when(F.col("imported").isNotNull(), "import").otherwise("raw")
     kind = F.when(F.col("raw_type").contains("."), F.col("raw_type")).otherwise(F.coalesce("imported", "raw_type"))
-    return out.select("path", F.concat_ws(".", "package", "binding_class").alias("binding_class"), "field", "raw_type", kind.alias("type"), resolution.alias("resolution"), "line")
+    return rows.select("path", F.concat_ws(".", "package", "binding_class").alias("binding_class"), "field", "raw_type", kind.alias("type"), resolution.alias("resolution"), "line")
 
 
 def screen_nodes(dumps: DataFrame) -> DataFrame:
