@@ -323,6 +323,26 @@ def test_screens_and_resources(spark):
         android.resources(spark.createDataFrame([("res/layout/x.xml", "<a><b></a>")], "path string, text string")).collect()
 
 
+def test_backward_parts(spark, monkeypatch):
+    """Parts walked in tasks give the rows that rounds over the tables give, also where edges cross them, a part is large or a node has none."""
+    r = random.Random(5)
+    nodes = [(i, r.choice([None, "click", "signup"]), r.random() < 0.1) for i in range(60)]
+    near = lambda i: (i // 10) * 10 + r.randrange(10)
+    calls = [(near(i), i) for i in range(60) for _ in range(3)] + [(3, 14), (25, 58)]
+    hosts = [(near(i), i) for i in range(0, 60, 7)]
+    of = lambda xs, schema: spark.createDataFrame(xs, schema)
+    args = of([(i,) for i in range(0, 60, 4)] + [(99,)], "root long"), of(calls, "src long, dst long"), of(hosts, "src long, dst long"), of(nodes, "node long, callback_kind string, framework boolean")
+    parts = of([(i, i // 10 if i != 33 else None) for i in range(60)], "node long, part long")
+    for depth in (None, 2):
+        want = rows(graph.backward_callbacks(*args, depth))
+        assert rows(graph.backward_callbacks(*args, depth, parts=parts)) == want == rows(graph.backward_callbacks(*args, depth, parts=parts, most=5))
+    # nothing goes by rounds where all parts are small and closed: the plan is a fixed number of steps, however long the chains
+    monkeypatch.setattr(graph, "backward_rounds", None)
+    chain = of([(i, i + 1) for i in range(200) if i % 50 != 49], "src long, dst long")
+    found = graph.backward_callbacks(of([(49,), (199,)], "root long"), chain, chain.limit(0), of([(i, "click", False) for i in range(200)], "node long, callback_kind string, framework boolean"), parts=of([(i, i // 50) for i in range(200)], "node long, part long"))
+    assert found.count() == 100 and found.agg(F.max("depth")).first()[0] == 49
+
+
 def test_bindings_and_sources(spark):
     code = "package p.d;\nimport android.widget.TextView;\npublic final class MainBinding {\n public final TextView a;\n public final p.V b;\n public final X c;\n}"
     got = android.binding_fields_of(spark.createDataFrame([("MainBinding.java", code)], "path string, text string"))
