@@ -105,7 +105,7 @@ def vote(rule: str) -> Column:
     """1 good, 0 bad, null for no vote."""
     value, bad, good = RULES[rule]
     enough = F.col("n_words") >= 20
-    x = F.expr(f"({value})")
+    x = F.expr(f"({value})".replace("/ n_words", "/ nullif(n_words, 0)"))  # Spark may work x out for a text without words too, before it looks at `enough`
     return F.when(enough & (x >= bad), 0).when(enough & (x <= good), 1)
 
 
