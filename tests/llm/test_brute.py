@@ -553,3 +553,14 @@ def test_links_of_a_large_group_are_thinned(spark):
         assert {r["node"]: r["label"] for r in simhash.components(thin).collect()} == want
     assert {r["node"]: r["label"] for r in simhash.components(edges).collect()} == want
     assert simhash.components(edges.limit(0)).count() == 0
+
+
+def test_seeds_read_texts_in_one_pass(spark):
+    """Seeds come straight from the rows: no second Python process holds the texts beside; copies and short texts have no seeds of their own."""
+    text = " ".join(f"w{i}" for i in range(60))
+    frame = spark.createDataFrame([(1, text), (2, text.upper()), (3, "too short"), (4, None)], "doc_id long, text string").coalesce(1)
+    found = passages.seeded(frame, 4, 4, 1, 16, 64, 50)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    seeds = [r for r in found.collect() if r["h"]]
+    assert sum(len(r["h"]) for r in seeds) == 8 * len(passages.minimizers(text.encode(), 4, 4)[0])
+    assert {r["text"][:8] for r in seeds} == {passages.texts_of(frame).where("doc_id = 1").first()["text_id"].to_bytes(8, "little", signed=True)}
