@@ -12,6 +12,8 @@ from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -180,46 +182,76 @@ def pack_graph(methods: DataFrame, domains: DataFrame, target: int, most: int) -
     with the methods that overlap it most until it has the target; what shares nothing is packed in order; at
     last pairs of chunks that still fit together merge, those of greatest overlap first.
 
-    Each choice depends on the ones before it, so a page is one task: a matrix of its methods and domains, a byte each, and a few
-    products with it for each choice. 5,000 methods with 2,000 domains take 10 MB.
+    Each choice depends on the ones before it, so a page is one task. It holds the page's methods with their domains and, for what has been packed
+    so far, sums by method or chunk: memory grows with the page's rows, not with methods times domains or with pairs of chunks.
     """
 
-    def one_page(key, ms: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
-        ms = ms.sort_values("ord", ignore_index=True)
-        names, column = np.unique(ds["domain"].to_numpy(str), return_inverse=True)
-        row = ds["method"].map({m: i for i, m in enumerate(ms["method"])}).to_numpy(float)
-        known = ~np.isnan(row)
-        has = np.zeros((len(ms), len(names)), bool)
-        has[row[known].astype(int), column[known]] = True
-        weight = np.zeros(len(names), np.int64)
-        weight[column] = ds["chars"]
-        chars = ms["chars"].to_numpy(np.int64)
-        large = chars + has @ weight > most
+    def one_page(key, ms: pa.Table, ds: pa.Table) -> pa.Table:
+        ms = ms.sort_by([("ord", "ascending"), ("method", "ascending")]).combine_chunks()
+        methods = ms["method"].to_pylist()
+        place = {m: i for i, m in enumerate(methods)}
+        names, named = codes(ds["domain"])
+        by_name = pc.sort_indices(named).to_numpy()
+        rank = np.empty(len(named), np.int64)
+        rank[by_name] = np.arange(len(named))
+        column = rank[names]
+        weight = np.zeros(len(named), np.int64)
+        weight[column] = ds["chars"].to_numpy()
+        of, known = codes(ds["method"])
+        row = np.array([place.get(m, -1) for m in known.to_pylist()], np.int64)[of]
+        has = domain_lists(row[row >= 0], column[row >= 0], len(methods))
+        chars = ms["chars"].to_numpy().astype(np.int64)
+        large = chars + np.array([weight[d].sum() for d in has], np.int64) > most
         groups = [(g, False) for g in merged_groups(shared_groups(has, weight, chars, ~large, target, most), has, weight, chars, most)]
         groups += [([i], True) for i in np.nonzero(large)[0]]
-        rows = [(key[0], n, ms["method"][i], over) for n, (g, over) in enumerate(groups, 1) for i in g]
-        return pd.DataFrame(rows, columns=["page", "chunk", "method", "oversized"])
-
-    by = methods.groupBy("page").cogroup(domains.groupBy("page"))
-    return by.applyInPandas(one_page, "page long, chunk long, method string, oversized boolean")
-
-
-def shared_groups(has: np.ndarray, weight: np.ndarray, chars: np.ndarray, free: np.ndarray, target: int, most: int) -> list[list[int]]:
-    """Rows of `has` (methods x domains) that are free, in groups seeded by the domains whose sharing saves most."""
-    free = free.copy()
-    uses = has[free].sum(0)
-    first = np.where(has & free[:, None], np.arange(len(has))[:, None], len(has)).min(0, initial=len(has))
-    whole, columns = chars + has @ weight, np.ascontiguousarray(has.T)
+        rows = [(n, methods[i], over) for n, (g, over) in enumerate(groups, 1) for i in g]
+        kinds = {"chunk": pa.int64(), "method": pa.string(), "oversized": pa.bool_()}
+        cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())]
+        return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int64()), *cols], ["page", *kinds])
+
+    by = methods.select("page", "ord", "method", "chars").groupBy("page").cogroup(domains.select("page", "method", "domain", "chars").groupBy("page"))
+    return by.applyInArrow(one_page, "page long, chunk long, method string, oversized boolean")
+
+
+def codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """The column's values as places among its distinct ones, and these."""
+    whole = column.combine_chunks().dictionary_encode()
+    whole = whole.combine_chunks() if isinstance(whole, pa.ChunkedArray) else whole
+    return whole.indices.to_numpy(), whole.dictionary
+
+
+def domain_lists(row: np.ndarray, column: np.ndarray, n: int) -> list[np.ndarray]:
+    """The distinct columns of each of n rows, in order."""
+    order = np.lexsort((column, row))
+    row, column = row[order], column[order]
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (column[1:] != column[:-1])))[: len(row)]
+    return np.split(column[new], np.searchsorted(row[new], np.arange(1, n))) if n else []
+
+
+def held_by(lists: list[np.ndarray], n: int) -> list[np.ndarray]:
+    """The other way round: for each of n columns the rows that have it, in order."""
+    row, column = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.zeros(0, np.int64), *lists])
+    return domain_lists(column, row, n)
+
+
+def shared_groups(has: list[np.ndarray], weight: np.ndarray, chars: np.ndarray, free: np.ndarray, target: int, most: int) -> list[list[int]]:
+    """Methods that are free, in groups seeded by the domains whose sharing saves most. has: each method's domains."""
+    free, n = free.copy(), len(has)
+    holders = held_by(has, len(weight))
+    joined = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+    uses = np.bincount(joined([has[i] for i in np.nonzero(free)[0]]), minlength=len(weight))
+    first = np.array([next((i for i in x if free[i]), n) for x in holders], np.int64)
+    whole = chars + np.array([weight[d].sum() for d in has], np.int64)
+    # what every method has in common with the group: in characters, and as the gain that ranks it; kept up as domains are added
+    common, gain = np.zeros(n, np.int64), np.zeros(n, np.int64)
     out = []
     while True:
-        saved = weight * (uses - 1)
-        worth = np.nonzero((uses > 1) & (saved > 0))[0]
-        if not len(worth):
+        saved = np.where(uses > 1, weight * (uses - 1), 0)
+        if not len(saved) or (top := saved.max()) <= 0:
             break
-        seed = worth[np.lexsort((worth, first[worth], -uses[worth], -saved[worth]))[0]]  # columns are in the order of names
-        # what every method has in common with the group: in characters, and as the gain that ranks it; kept up as domains are added
-        group, size, sent = [], 0, np.zeros(len(weight), bool)
-        common, gain = np.zeros(len(has), np.int64), np.zeros(len(has), np.int64)
+        worth = np.nonzero(saved == top)[0]
+        seed = worth[np.lexsort((worth, first[worth], -uses[worth]))[0]]  # columns are in the order of names
+        group, size, sent, met = [], 0, set(), []
 
         def add(i: int) -> bool:
             nonlocal size
@@ -228,73 +260,132 @@ def shared_groups(has: np.ndarray, weight: np.ndarray, chars: np.ndarray, free:
                 return False
             size += more
             group.append(int(i))
-            new = np.nonzero(has[i] & ~sent)[0]
-            common[:] += weight[new] @ columns[new]
-            gain[:] += np.maximum(weight[new], 1) @ columns[new]
-            sent[new] = True
+            new = np.array([d for d in has[i].tolist() if d not in sent], np.int64)
+            near = [holders[d] for d in new]
+            rows, each = joined(near), np.repeat(weight[new], [len(x) for x in near])
+            np.add.at(common, rows, each)
+            np.add.at(gain, rows, np.maximum(each, 1))
+            met.append(rows)
+            sent.update(new.tolist())
             free[i] = False
             return True
 
-        for i in np.nonzero(free & has[:, seed])[0]:
+        for i in holders[seed][free[holders[seed]]]:
             add(i)
         while size < target:
-            near = np.nonzero(free & (gain > 0) & (size + whole - common <= most))[0]
+            near = np.unique(joined(met))
+            met[:] = [near[free[near]]]
+            near = met[0][(gain[met[0]] > 0) & (size + whole[met[0]] - common[met[0]] <= most)]
             if not len(near):
                 break
             add(near[np.argmax(gain[near])])  # the first of those of greatest gain
-        uses = uses - has[group].sum(0)
-        touched = np.nonzero(sent)[0]
-        there = columns[touched] & free
-        first[touched] = np.where(there.any(1), there.argmax(1), len(has))
+        np.subtract.at(uses, joined([has[i] for i in group]), 1)
+        for d in sent:
+            rows = holders[d]
+            common[rows] = gain[rows] = 0
+            there = rows[free[rows]]
+            first[d] = there[0] if len(there) else n
+            holders[d] = there  # those that have gone play no part from here on
         out.append(group)
-    group, size, sent = [], 0, np.zeros(len(weight), bool)
+    group, size, sent = [], 0, set()
     for i in np.nonzero(free)[0]:
-        more = chars[i] + weight[has[i] & ~sent].sum()
+        more = chars[i] + sum(int(weight[d]) for d in has[i].tolist() if d not in sent)
         if group and (size >= target or size + more > most):
             out.append(group)
-            group, size, sent = [], 0, np.zeros(len(weight), bool)
-            more = chars[i] + weight[has[i]].sum()
+            group, size, sent = [], 0, set()
+            more = whole[i]
         group.append(int(i))
         size += more
-        sent |= has[i]
+        sent.update(has[i].tolist())
     return out + [group] * bool(group)
 
 
-def merged_groups(groups: list[list[int]], has: np.ndarray, weight: np.ndarray, chars: np.ndarray, most: int) -> list[list[int]]:
-    """Groups joined two by two while any two fit together: greatest overlap first, then the fullest result, the smaller source, the earliest places."""
+def merged_groups(groups: list[list[int]], has: list[np.ndarray] | np.ndarray, weight: np.ndarray, chars: np.ndarray, most: int) -> list[list[int]]:
+    """Groups joined two by two while any two fit together: greatest overlap first, then the fullest result, the smaller source, the earliest places.
+
+    has: each method's domains, or flags. Of every group only the best later partner that it shares domains with is held; where none is left that
+    fits, the pair that fills up best is found by size.
+    """
+    has = has if isinstance(has, list) else [np.nonzero(x)[0] for x in has]
     groups = [list(g) for g in groups]
     n = len(groups)
-    sent = np.array([has[g].any(0) for g in groups]).reshape(n, has.shape[1])
-    alone = np.array([chars[g].sum() for g in groups], np.int64)
-    size = alone + sent @ weight
-    count = np.array([len(g) for g in groups])
-    # shared[i, j], i < j: what two groups that fit together have in common, else -1; best: the most of each row
-    place = np.arange(n)
-    held = sent.astype(float)  # sums of whole numbers, exact below 2 ** 53
-    overlap = ((held * weight) @ held.T).astype(np.int64)
-    del held
-    shared = np.where((place[:, None] < place) & (size[:, None] + size - overlap <= most), overlap, -1)
-    best = shared.max(1, initial=-1)
-    alive = np.ones(n, bool)
-    while n and (top := best.max()) >= 0:
-        i = np.nonzero(best == top)[0]
-        at, j = np.nonzero(shared[i] == top)
-        i = i[at]
-        both = size[i] + size[j] - top
-        pick = np.lexsort((i, j, np.minimum(count[i], count[j]), most - both))[0]
-        i, j = int(i[pick]), int(j[pick])
-        size[i] += size[j] - top
+    if not n:
+        return []
+    sent = [np.unique(np.concatenate([np.zeros(0, np.int64), *[has[i] for i in g]])) for g in groups]
+    holders = held_by(sent, len(weight))
+    size = np.array([chars[g].sum() + weight[d].sum() for g, d in zip(groups, sent, strict=True)], np.int64)
+    count, alive = np.array([len(g) for g in groups]), np.ones(n, bool)
+    # of each group's pairs with later ones: what the best has in common (-1: none fits), its slack, the smaller count, the partner
+    overlap, slack, least, partner = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1)
+
+    def fits(i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Groups that share domains with i and fit together with it: places, what is in common, slack, smaller count."""
+        near = [holders[d] for d in sent[i]]
+        rows = np.concatenate([np.zeros(0, np.int64), *near])
+        shared = np.bincount(rows, np.repeat(weight[sent[i]], [len(x) for x in near]), n).astype(np.int64)  # whole numbers, exact below 2 ** 53
+        at = np.unique(rows)
+        left = most - (size[at] + size[i] - shared[at])
+        at, left = (x[alive[at] & (at != i) & (shared[at] > 0) & (left >= 0)] for x in (at, left))
+        return at, shared[at], left, np.minimum(count[at], count[i])
+
+    def look(i: int, found=None) -> None:
+        at, shared, left, small = found or fits(i)
+        later = np.nonzero(at > i)[0]
+        if not len(later):
+            overlap[i], partner[i] = -1, -1
+            return
+        pick = later[np.lexsort((at[later], small[later], left[later], -shared[later]))[0]]
+        overlap[i], slack[i], least[i], partner[i] = shared[pick], left[pick], small[pick], at[pick]
+
+    for i in range(n):
+        look(i)
+    while True:
+        if (top := overlap.max()) > 0:
+            rows = np.nonzero(overlap == top)[0]
+            i = int(rows[np.lexsort((rows, least[rows], slack[rows]))[0]])
+            j = int(partner[i])
+        elif (pair := fullest(np.nonzero(alive)[0], size, count, most)) is not None:
+            i, j = pair
+        else:
+            return [g for g, there in zip(groups, alive, strict=True) if there]
+        size[i] += size[j] - max(top, 0)
         groups[i] += groups[j]
-        sent[i] |= sent[j]
+        new = np.setdiff1d(sent[j], sent[i])
+        for d in sent[j]:
+            holders[d] = holders[d][holders[d] != j]
+        for d in new:
+            holders[d] = np.append(holders[d], i)
+        sent[i], sent[j] = np.union1d(sent[i], new), np.zeros(0, np.int64)
         count[i] += count[j]
         alive[j] = False
-        own = np.nonzero(sent[i])[0]
-        with_i = sent[:, own] @ weight[own]
-        fits = np.where(alive & (size + size[i] - with_i <= most), with_i, -1)
-        stale = (best >= 0) & ((shared[:, i] == best) | (shared[:, j] == best))
-        shared[j], shared[:, j], best[j] = -1, -1, -1
-        shared[i], shared[:, i] = np.where(place > i, fits, -1), np.where(place < i, fits, -1)
-        stale[i] = True
-        best[stale] = shared[stale].max(1)
-        best[:i] = np.maximum(best[:i], shared[:i, i])
-    return [g for g, there in zip(groups, alive, strict=True) if there]
+        overlap[j] = partner[j] = -1
+        found = fits(i)
+        look(i, found)
+        for k in np.nonzero(((partner == i) | (partner == j)) & alive)[0]:
+            if k != i:
+                look(int(k))
+        for k, shared, left, small in zip(*(x.tolist() for x in found), strict=True):
+            if k < i and (-shared, left, small, i) < ((-overlap[k], slack[k], least[k], partner[k]) if overlap[k] > 0 else (0, 0, 0, 0)):
+                overlap[k], slack[k], least[k], partner[k] = shared, left, small, i
+
+
+def fullest(at: np.ndarray, size: np.ndarray, count: np.ndarray, most: int) -> tuple[int, int] | None:
+    """Of two groups that fit together and have nothing in common those that fill up best, then with the smaller source, at the earliest places. at: places, in order."""
+    at = at[size[at] <= most - size[at].min(initial=most)]
+    order = np.lexsort((at, size[at]))
+    by, sizes = at[order], size[at][order]
+    # the largest partner of each, not itself
+    partner = np.searchsorted(sizes, most - sizes, "right") - 1
+    partner -= partner == np.arange(len(by))
+    ok = partner >= 0
+    if not ok.any():
+        return None
+    best = int((sizes[ok] + sizes[partner[ok]]).max())
+    # all groups in pairs of that size: the first two places of each size are enough
+    low, high = np.searchsorted(sizes, best - sizes, "left"), np.searchsorted(sizes, best - sizes, "right")
+    own = np.nonzero(high - low > (sizes * 2 == best))[0]
+    own = own[count[by[own]] == count[by[own]].min()]
+    other = np.where(by[low[own]] == by[own], by[np.minimum(low[own] + 1, len(by) - 1)], by[low[own]])
+    i, j = np.minimum(by[own], other), np.maximum(by[own], other)
+    pick = np.lexsort((j, i))[0]
+    return int(i[pick]), int(j[pick])
